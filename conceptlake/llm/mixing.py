@@ -106,10 +106,10 @@ def split_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     for level in range(levels):
         total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)
         nodes = nodes.withColumn("total", total)
-        indexed = F.arrays_zip(F.col("q"), F.sequence(F.lit(1), F.size("q")))
+        indexed = F.transform("q", lambda x, i: F.struct(x.alias("q"), i.alias("i")))
 
         def step(acc: Column, x: Column) -> Column:
-            u = uniform(F.lit(seed), acc["level"], acc["node"], x["1"])
+            u = uniform(F.lit(seed), acc["level"], acc["node"], x["i"])
             got = hypergeometric(acc["rest"], x["q"], acc["left"], u).cast("long")
             return F.struct(acc["level"].alias("level"), acc["node"].alias("node"), (acc["rest"] - x["q"]).alias("rest"), (acc["left"] - got).alias("left"), F.concat(acc["out"], F.array(got)).alias("out"))
 
