@@ -11,9 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from conceptlake.llm import language, mixing, secrets, sentencepieces, simhash
 from conceptlake.session import cut
 
-#: Near-duplicate stages take shingles of five words.
-SHINGLE = 5
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised stay; those that the classifier rejects go."""
@@ -24,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.deduplicated(docs, shingle=SHINGLE)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    return simhash.deduplicated(docs, scheme=simhash.SIMILAR)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
