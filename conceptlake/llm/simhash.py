@@ -15,7 +15,7 @@ intersection gives each member's link to the least member it is connected with,
 That is the scheme ``LINKED`` (op7's contract). The scheme ``SIMILAR`` is for near-duplicates by shingle similarity: five
 words and a similarity of 0.8 or more. A word changed spoils five five-word shingles but two two-word ones, so such
 copies are alike in 0.9 of their two-word shingles and more, and differ in some 27 of 256 bits; unrelated texts differ in
-120. It takes 256 bits of two-word shingles, 64 triples of the 32 byte positions, at least 6 shared bytes and at most 36
+120. It takes 256 bits of two-word shingles, 64 triples of the 32 byte positions, at least 6 shared bytes and at most 32
 differing bits. With more differing bits than bytes the minimum is no guarantee but what bits spread at random reach in
 99.8 of 100 cases; a test measures the recall against all pairs.
 
@@ -64,7 +64,7 @@ class Scheme:
 
 
 LINKED = Scheme(4, 1, 4, 4, TRIPLES)
-SIMILAR = Scheme(2, 4, 36, 6, WIDE)
+SIMILAR = Scheme(2, 4, 32, 6, WIDE)
 
 
 def fingerprint(text: str | None, shingle: int = 4, lanes: int = 1) -> list[int]:
