@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from conceptlake.catalog import Catalog
-from conceptlake.operators import aggregates as agg, freshness, graph, lifecycle, relationships as rel, search, temporal
+from conceptlake.operators import aggregates as agg, embeddings, freshness, graph, lifecycle, packages, provenance, relationships as rel, search, temporal, workspace
 from conceptlake.plans import oracle as o
 from conceptlake.sources.testdata import catalog, read
 from conceptlake.streaming import outbox
@@ -214,3 +214,59 @@ def stream_latest(c: Catalog, d: str) -> DataFrame:
     seen = c.spark.read.parquet(f"{base}/seen")
     order = Window.partitionBy("bundle_id", "concept_id").orderBy(F.col("e.event_id").desc())
     return seen.withColumn("r", F.row_number().over(order)).where("r = 1").select("bundle_id", "concept_id", "e.event_id", "e.operation")
+
+# --- packages, provenance, embeddings, workspaces ---------------------------------------------------------------------
+
+# A tree of files made of numbers: every 50th path is a manifest, its neighbours lie beside or below it.
+_PATH = "concat('pkg/', doc_id div 50, CASE doc_id % 10 WHEN 0 THEN '/SKILL.md' WHEN 1 THEN concat('/scripts/run', doc_id, '.py') WHEN 2 THEN concat('/scripts/sub/go', doc_id, '.sh') WHEN 3 THEN concat('/references/r', doc_id, '.md') WHEN 4 THEN concat('/assets/a', doc_id, '.png') WHEN 5 THEN '/index.md' WHEN 6 THEN concat('/notes/n', doc_id, '.md') WHEN 7 THEN concat('/x', doc_id, '.bin') ELSE concat('/scripts', doc_id, '.md') END)"
+_PATH_SQL = _PATH.replace("div", "//")
+
+
+def _files(c: Catalog) -> DataFrame:
+    return c.table("concepts").where("doc_id % 10 <> 0 OR doc_id % 50 = 0").where("doc_id % 10 <> 5 OR doc_id % 50 = 5").selectExpr(f"{_PATH} AS path", "file_hash", "doc_id")
+
+
+_FILES_SQL = f"(SELECT {_PATH_SQL} AS path, file_hash, doc_id FROM concepts WHERE (doc_id % 10 <> 0 OR doc_id % 50 = 0) AND (doc_id % 10 <> 5 OR doc_id % 50 = 5))"
+_KIND_SQL = f"""(SELECT path, file_hash, doc_id, 'pkg/' || (doc_id // 50) AS package, CASE WHEN doc_id % 10 IN (1, 2, 3, 4) THEN 'resource' WHEN doc_id % 10 = 5 THEN 'reserved' WHEN doc_id % 10 = 0 THEN 'manifest' WHEN path LIKE '%.md' THEN 'document' ELSE 'ignored' END AS kind,
+  CASE doc_id % 10 WHEN 1 THEN 'script' WHEN 2 THEN 'script' WHEN 3 THEN 'reference' WHEN 4 THEN 'asset' END AS role, CASE doc_id % 10 WHEN 1 THEN 'python' WHEN 2 THEN 'shell' END AS language,
+  CASE WHEN path LIKE '%.md' THEN 'text/markdown' WHEN path LIKE '%.png' THEN 'image/png' ELSE 'application/octet-stream' END AS media_type FROM {_FILES_SQL})"""
+query(f"SELECT path, package, kind, coalesce(role, '-') AS role, coalesce(language, '-') AS language, media_type FROM {_KIND_SQL}", "package_classify")(lambda c: packages.classify(_files(c)).fillna("-", ["role", "language"]))
+query(f"SELECT package, path, CASE role WHEN 'reference' THEN 'REFERENCES' ELSE 'USES' END AS relation FROM {_KIND_SQL} WHERE kind = 'resource'", "package_membership")(lambda c: packages.membership(packages.classify(_files(c))))
+query(f"SELECT package, sha256(string_agg(coalesce(role, 'manifest') || chr(31) || path || chr(31) || file_hash, chr(10) ORDER BY path)) AS package_hash, count(*) AS files FROM {_KIND_SQL} WHERE kind IN ('resource', 'manifest') GROUP BY package", "package_hash")(lambda c: packages.package_hash(packages.classify(_files(c)), _files(c).select("path", "file_hash")))
+query(f"SELECT path, package, CASE WHEN doc_id % 6 = 1 THEN 'private' WHEN doc_id // 50 % 2 = 1 THEN 'internal' ELSE 'public' END AS visibility FROM {_KIND_SQL} WHERE kind = 'resource'", "package_visibility")(lambda c: packages.propagate_visibility(packages.classify(_files(c)), _files(c).where("doc_id % 6 = 1 OR (doc_id % 50 = 0 AND doc_id div 50 % 2 = 1)").selectExpr("path", "CASE WHEN doc_id % 50 = 0 AND doc_id div 50 % 2 = 1 THEN 'internal' ELSE 'private' END AS visibility").unionByName(_files(c).where("doc_id % 50 = 0 AND doc_id div 50 % 2 = 0 AND doc_id % 6 <> 1").selectExpr("path", "'public' AS visibility"))))
+
+
+@query()
+def package_skill(c: Catalog) -> DataFrame:
+    return packages.get_skill(packages.classify(_files(c)), "pkg/1")
+
+
+def _fronts(c: Catalog) -> DataFrame:
+    made = "concat('{\"status\":\"', CASE WHEN doc_id % 2 = 0 THEN 'stable' ELSE 'draft' END, '\",\"stale_after\":\"2024-0', doc_id % 9 + 1, '-1', doc_id % 10, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'T05:06:07Z' WHEN 2 THEN ' 10:30+02:00' ELSE 'T99:00' END, '\",\"generated\":{\"by\":\"agent:', doc_id % 5, '\",\"at\":\"2023-12-31\"},\"verified\":[', CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '{\"by\":\"bot\",\"at\":\"2024-01-01\"}' ELSE '{\"by\":\"bot\"},{\"by\":\"human:a\",\"at\":\"2024-01-02T00:00:60Z\"}' END, ']}')"
+    return c.table("concepts").selectExpr("bundle_id", "concept_id", f"{made} AS front")
+
+
+query("SELECT bundle_id, concept_id, 'agent:' || (doc_id % 5) AS generated_by, 1703980800 AS generated_at_s, CASE WHEN doc_id % 2 = 0 THEN 'stable' ELSE 'draft' END AS status, coalesce(epoch(make_date(2024, CAST(doc_id % 9 + 1 AS INT), CAST(10 + doc_id % 10 AS INT)))::BIGINT + CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 18367 WHEN 2 THEN 30600 END, -1) AS stale_after_s, CASE doc_id % 3 WHEN 0 THEN 'unverified' WHEN 1 THEN 'machine-confirmed' ELSE 'human-reviewed' END AS trust_tier FROM concepts", "provenance_projection")(lambda c: provenance.project(_fronts(c), KEY)["concept_provenance"].select(*KEY, "generated_by", "generated_at_s", "status", F.coalesce("stale_after_s", F.lit(-1)).alias("stale_after_s"), "trust_tier"))
+query("SELECT bundle_id, concept_id, o AS ordinal, CASE WHEN o = 1 THEN 'human:a' ELSE 'bot' END AS verified_by, CASE WHEN o = 1 THEN 1704153660 WHEN doc_id % 3 = 1 THEN 1704067200 ELSE -1 END AS verified_at_s FROM (SELECT *, unnest(range(0, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END)) AS o FROM concepts)", "provenance_verifications")(lambda c: provenance.project(_fronts(c), KEY)["concept_verification"].withColumn("verified_at_s", F.coalesce("verified_at_s", F.lit(-1))))
+query("SELECT doc_id, i - 1 AS at, -1 AS logged_at_s, trim(regexp_replace(l[i], '^\\s*(#+\\s*|[-*+]\\s+)', '')) AS entry FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE doc_id % 7 = 0) WHERE trim(regexp_replace(l[i], '^\\s*(#+\\s*|[-*+]\\s+)', '')) <> ''", "bundle_log")(lambda c, d: provenance.log_entries(read(c.spark, d, "documents").where("doc_id % 7 = 0"), ["doc_id"]).withColumn("logged_at_s", F.coalesce("logged_at_s", F.lit(-1))))
+query("SELECT bundle_id, concept_id, path, type, title, coalesce(status, '-') AS status, coalesce(trust_tier, '-') AS trust_tier, (SELECT count(*) FROM links WHERE source_id = 'doc/24') AS links_out, (SELECT count(*) FROM links WHERE target_id = 'doc/24' AND resolved) AS links_in FROM seen LEFT JOIN (SELECT bundle_id, concept_id, status, trust_tier FROM prov) p USING (bundle_id, concept_id) WHERE concept_id = 'doc/24'", "get_concept")(lambda c: workspace.get_concept(c, "doc/24").fillna("-", ["status", "trust_tier"]))
+query("SELECT bundle_id, concept_id, min(place) AS place FROM (SELECT bundle_id, concept_id, p - 1 AS place FROM seen JOIN (SELECT unnest(['doc/42', 'doc/1', 'doc/88']) AS concept_id, unnest([1, 2, 3]) AS p) USING (concept_id) UNION ALL SELECT s.bundle_id, s.concept_id, 3 FROM seen s SEMI JOIN (SELECT * FROM prov WHERE trust_tier = 'human-reviewed') p USING (bundle_id, concept_id) WHERE type = 'de') GROUP BY 1, 2 ORDER BY 3, 1, 2 LIMIT 50", "workspace_select")(lambda c: workspace.select(c, ["doc/42", "doc/1", "doc/88"], tiers=["human-reviewed"], concept_type="de"))
+query("SELECT c.bundle_id, CASE WHEN doc_id % 6 = 0 THEN 'gone/' || doc_id ELSE concept_id END AS concept_id, CASE WHEN doc_id % 6 = 0 THEN 'unknown' WHEN NOT (enabled AND retired_at IS NULL) THEN 'retired' WHEN doc_id % 4 = 1 THEN 'stale' ELSE 'current' END AS state FROM concepts c JOIN bundles b USING (bundle_id)", "plugin_freshness")(lambda c: workspace.check_lock(c.table("concepts").selectExpr("bundle_id", "CASE WHEN doc_id % 6 = 0 THEN concat('gone/', doc_id) ELSE concept_id END AS concept_id", "CASE WHEN doc_id % 4 = 1 THEN 'old' ELSE file_hash END AS file_hash"), c))
+query("SELECT source_id, target_id, count(*) AS n, string_agg(DISTINCT link_kind, ',' ORDER BY link_kind) AS kinds FROM links WHERE resolved AND source_id IN (SELECT n FROM (SELECT source_id AS n FROM links UNION ALL SELECT target_id FROM links) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 200) AND target_id IN (SELECT n FROM (SELECT source_id AS n FROM links UNION ALL SELECT target_id FROM links) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 200) GROUP BY 1, 2", "catalog_graph")(lambda c: graph.edges_among(c.table("links").where("resolved"), graph.top_nodes(c.table("links"), 200).select(F.col("node").alias("concept_id"))))
+
+
+def _written(c: Catalog) -> DataFrame:
+    """Every third concept's vector is offered; those with an even id were made from other bytes and are refused."""
+    old = c.table("concepts").where("doc_id % 2 = 0").selectExpr("bundle_id", "concept_id", "'old' AS model", "file_hash AS source_file_hash")
+    new = c.table("concepts").where("doc_id % 3 = 0").selectExpr("bundle_id", "concept_id", "'new' AS model", "CASE WHEN doc_id % 4 = 0 THEN 'other' ELSE file_hash END AS source_file_hash")
+    return embeddings.store(old, new, c.table("concepts")).select(*KEY, "model")
+
+
+query("SELECT bundle_id, concept_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 THEN 'new' ELSE 'old' END AS model FROM concepts WHERE doc_id % 2 = 0 OR (doc_id % 3 = 0 AND doc_id % 4 <> 0)", "embedding_store")(_written)
+
+
+@query()
+def embedding_pipeline(c: Catalog) -> DataFrame:
+    """Pending concepts rendered and embedded."""
+    todo = agg.pending_embeddings(c, "v1", 64).select(*KEY)
+    return embeddings.embed(agg.embedding_input(c.table("concepts").join(todo, KEY, "left_semi")), 32).select(*KEY, "dim", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))

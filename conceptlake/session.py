@@ -31,16 +31,29 @@ def get_session(app: str = "conceptlake", master: str | None = None, **conf: str
 
 def scratch_dir(spark: SparkSession) -> str:
     """Folder shared by driver and executors: spark.checkpoint.dir, or an own one where it is unset (tests, one machine)."""
-    where = spark.conf.get("spark.checkpoint.dir", "")
+    where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if not where:
         where = f"file://{tempfile.gettempdir()}/conceptlake-{os.getuid()}"
     return where.rstrip("/")
 
 
+_CUTS: list[str] = []
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete all tables that ``cut`` has written in this process; how many there were."""
+    jvm, n = spark.sparkContext._jvm, len(_CUTS)
+    while _CUTS:
+        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def cut(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared scratch folder and read it back.
 
     This cuts the lineage in a form that survives lost executors; a later stage reads only the columns it needs.
+    ``drop_cuts`` deletes the tables once nothing that was made from them will be read again.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/cut-{uuid.uuid4().hex}"
@@ -48,6 +61,7 @@ def cut(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

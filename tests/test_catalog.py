@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from conceptlake.catalog import Catalog
 from conceptlake.errors import Ambiguous, Duplicate, InvalidParameter, NotFound
 from conceptlake.functions import tsquery
-from conceptlake.operators import freshness, graph, lifecycle, relationships, search, temporal
+from conceptlake.operators import embeddings, freshness, graph, lifecycle, packages, provenance, relationships, search, temporal, workspace
 from conceptlake.sources import bundle, markdown, normalize
 from conceptlake.streaming import outbox
 
@@ -276,6 +276,45 @@ def test_lifecycle_and_config(spark):
         lifecycle.Config().set("max_graph_hops", "7")
 
 
+ISO_CASES = [("2024-01-02", 1704153600), ("2024-01-02T03:04:05Z", 1704164645), ("2024-01-02t03:04:60+00", 1704164700), ("2024-01-02 03:04+0530", 1704144840), ("2024-01-02T03:04:05.678-01:00", 1704168245), ("2024-02-30", None), ("2024-01-02T25:00Z", None), ("soon", None), (None, None)]
+
+
+def test_iso_times(spark):
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(ISO_CASES)], "i int, t string")
+    got = {r["i"]: r["s"] for r in d.select("i", provenance.iso_seconds(F.col("t")).alias("s")).collect()}
+    assert [got[i] for i in range(len(ISO_CASES))] == [s for _, s in ISO_CASES]
+
+
+def test_packages(spark):
+    paths = ["a/SKILL.md", "a/scripts/x.py", "a/b/SKILL.md", "a/b/assets/i.png", "a/b/scripts", "a/readme.md", "references/r.md", "a/references/index.md", "log.md"]
+    got = {r["path"]: (r["package"], r["kind"], r["role"]) for r in packages.classify(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert got["a/scripts/x.py"] == ("a", "resource", "script") and got["a/b/assets/i.png"] == ("a/b", "resource", "asset")
+    assert got["a/b/SKILL.md"] == ("a/b", "manifest", None) and got["references/r.md"] == (None, "document", None)
+    assert got["a/references/index.md"] == ("a", "resource", "reference") and got["log.md"] == (None, "reserved", None) and got["a/b/scripts"] == ("a/b", "ignored", None)
+
+
+def test_attested_computations(spark):
+    concepts = spark.createDataFrame([(1, "x", "Attested Computation"), (1, "y", "Note")], "bundle_id long, concept_id string, type string")
+    metadata = spark.createDataFrame([(1, "x", "computation", '"calc.md"'), (1, "x", "other", '"z"'), (1, "y", "attester", '"w"')], "bundle_id long, concept_id string, key string, value string")
+    assert [tuple(r) for r in packages.attestation_links(metadata, concepts).collect()] == [(1, "x", "attestation:computation", "calc.md")]
+
+
+def test_embeddings_are_checked(spark):
+    d = spark.createDataFrame([(1, "a", "one two"), (1, "b", None)], "bundle_id long, concept_id string, input string")
+    made = embeddings.embed(d, 8)
+    assert embeddings.check(made, 8).count() == 2
+    with pytest.raises(InvalidParameter):
+        embeddings.check(made, 9)
+    with pytest.raises(InvalidParameter):
+        embeddings.check(made.withColumn("embedding", F.array(*[F.lit(float("nan"))] * 8)), 8)
+
+
+def test_locks(spark, golden):
+    lock = golden.table("concepts").select("bundle_id", "concept_id", F.when(F.col("concept_id") == "services/widget", "x").otherwise(F.col("file_hash")).alias("file_hash"))
+    got = {r["concept_id"]: r["state"] for r in workspace.check_lock(lock, golden).collect()}
+    assert got == {"services/widget": "stale", "runbooks/failover": "current", "runbooks/failover-appendix": "current"}
+
+
 @given(st.text(max_size=40))
 @settings(max_examples=80, deadline=None)
 def test_queries_never_fail_on_punctuation(text):
