@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from conceptlake.llm.arrowtext import map_text
+from conceptlake.llm.sampling import smallest_hashes
 
 PASSAGE, DIM, HIDDEN, ATTEND = 64, 96, 16, 8
 SAMPLE = 3000
@@ -139,7 +140,7 @@ def fit(rows: list[tuple[str | None, int]], epochs: int = 40, batch: int = 64, r
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, seed: int = 42, **options) -> Model:
     """A model from at most ``sample`` labelled ids (the smallest keyed hashes, top-k over all partitions)."""
     known = labels.where(may_learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__y"))
-    chosen = known.orderBy(F.xxhash64(F.lit(seed), F.col("__id")), "__id").limit(sample)
+    chosen = smallest_hashes(known, sample, seed, "__id")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "__id").select("__id", "t", "__y")
     found = sorted(((r[0], r[1] or "", int(r[2])) for r in rows.toLocalIterator()))
     return fit([(t, y) for _, t, y in found], **options)

@@ -21,6 +21,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from conceptlake.llm.arrowtext import map_text
+from conceptlake.llm.sampling import smallest_hashes
 
 MODEL = "word_bpe_49k.json"
 SAMPLE, TABLE, CACHE, LONGEST = 500, 20_000, 300_000, 48
@@ -74,7 +75,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         import public_tokenizers
 
         model = public_tokenizers.path(MODEL)
-    chosen = df.select(id_col).orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(sample).select(F.col(id_col).alias("__id")).distinct()
+    chosen = smallest_hashes(df.select(F.col(id_col).alias("__id")), sample, seed, "__id").distinct()
     texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(chosen), "__id", "left_semi").limit(2 * sample)
     shared = df.sparkSession.sparkContext.broadcast(frequent([r[0] for r in texts.select("__t").toLocalIterator()], load(model), table))
 

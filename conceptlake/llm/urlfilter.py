@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from conceptlake.llm.sampling import smallest_hashes
 from conceptlake.session import bounded_batches
 
 #: (verdict, rule): host, then a slash, then the path's beginning.
@@ -164,7 +165,7 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", la
         known = parts.where(F.col("said").isNotNull()).select("url", "host", "path", (F.col("said") == "block").cast("int").alias("block"))
     else:
         known = labels.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("block").cast("int").alias("block")).where(F.col("block").isNotNull())
-    chosen = known.orderBy(F.xxhash64(F.lit(seed), F.col("url")), "url", "block").limit(sample)
+    chosen = smallest_hashes(known, sample, seed, "url", "block")
     model = train([tuple(r) for r in chosen.collect()])
     schema = T.StructType([T.StructField(id_col, df.select(id_col).schema[0].dataType), *[T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")], T.StructField("score", T.DoubleType())])
 
