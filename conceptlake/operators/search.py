@@ -55,9 +55,10 @@ def rank(index: DataFrame, query: tsquery.Query) -> DataFrame:
         units = [*clause.must, *clause.never]
         marked = rows.select(*KEY, "pos", "weight", *[_unit(u, order).alias(f"u{i}") for i, u in enumerate(units)])
         must, never = [f"u{i}" for i in range(len(clause.must))], [f"u{i}" for i in range(len(clause.must), len(units))]
-        everything = Window.partitionBy(*KEY)
-        marked = marked.withColumn("barred", F.max(reduce(lambda a, b: a | b, [F.col(c) for c in never], F.lit(False))).over(everything))
-        marked = marked.where(~F.col("barred") & reduce(lambda a, b: a | b, [F.col(c) for c in must]))
+        any_of = lambda names: reduce(lambda a, b: a | b, [F.col(c) for c in names])
+        if never:
+            marked = marked.withColumn("barred", F.max(any_of(never)).over(Window.partitionBy(*KEY))).where("NOT barred")
+        marked = marked.where(any_of(must))
         # How many units stand at one position (two phrases may begin alike); each counts.
         at_once = reduce(lambda a, b: a + b, [F.col(c).cast("int") for c in must])
         so_far = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -130,7 +131,8 @@ def concept_search(catalog: Catalog, query: str, *, limit: int = 20, after_curso
         ranked = rank(postings(rows, parsed.lexemes), parsed).where(after(after_cursor))
         return by_rank(ranked, limit).join(rows.select(*KEY, "path", "title", "type"), KEY).orderBy(F.col("rank").desc(), *KEY)
     ranked = rank(index, parsed).where(after(after_cursor))
-    ranked = ranked.join(rows.select(*KEY), KEY, "left_semi")
+    narrowed = any(v is not None for v in filters.values())
+    ranked = ranked.join(rows.select(*KEY), KEY, "left_semi") if narrowed else catalog.of_active(ranked)
     return by_rank(ranked, limit).join(rows.select(*KEY, "path", "title", "type"), KEY).orderBy(F.col("rank").desc(), *KEY)
 
 
