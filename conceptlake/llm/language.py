@@ -107,11 +107,13 @@ def remainder(key: Column, n: int) -> Column:
 def train(df: DataFrame, may_learn: Column, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, seed: int = 42, **options) -> Model:
     """A model from at most ``sample`` labelled rows of each language.
 
-    Rows are chosen in two steps by keyed hash (a salt first), so that a hot language is never ordered in one task.
+    Rows are chosen in two steps by keyed hash: the first few of each of 64 salts of a language, then the first of those.
+    So a hot language is spread over tasks, and the second step reads ``4 * sample`` rows of a language at most.
     """
+    each = max(16, -(-4 * sample // 64))
     known = df.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
     salted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "id")
-    some = known.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= sample).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= sample)
+    some = known.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= each).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= sample)
     chosen = some.select(F.col("id").alias("__id")).distinct()
     texts = df.where(may_learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).join(F.broadcast(chosen), "__id", "left_semi").select("t", "l")
     rows = sorted((r[1], r[0]) for r in texts.toLocalIterator() if r[0])
