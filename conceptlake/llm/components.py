@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from conceptlake.session import cut
 
 
+def loose(name: str) -> Column:
+    """The column without its known partitioning: a join then deals both sides anew, and AQE can split a hub's rows."""
+    return F.col(name).bitwiseXOR(F.lit(0).cast("long")).alias(name)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): component is the smallest node reachable.
 
@@ -22,9 +27,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         mark = seen
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(loose("a"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = large.groupBy("a").agg(F.min("b").alias("m")).select(loose("a"), "m")
         small = large.join(least, "a")
         now = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(small.select("a", F.col("m").alias("b"))).distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")
