@@ -12,12 +12,10 @@ the intersection of three lists, which holds about one 2^24th of the fingerprint
 are tallied in blocks, pairs reaching 4 are retained and verified by their bits. No pair is emitted: an
 intersection gives each member's link to the least member it is connected with, which keeps all of the linkage.
 
-That is the scheme ``LINKED`` (op7's contract). The scheme ``SIMILAR`` is for near-duplicates by shingle similarity: five
-words and a similarity of 0.8 or more. A word changed spoils five five-word shingles but two two-word ones, so such
-copies are alike in 0.9 of their two-word shingles and more, and differ in some 27 of 256 bits; unrelated texts differ in
-120. It takes 256 bits of two-word shingles, 64 triples of the 32 byte positions, at least 6 shared bytes and at most 32
-differing bits. With more differing bits than bytes the minimum is no guarantee but what bits spread at random reach in
-99.8 of 100 cases; a test measures the recall against all pairs.
+That is the scheme ``LINKED`` (op7's contract). The scheme ``SIMILAR`` (256 bits of two-word shingles, 64 triples of the 32
+byte positions, at least 6 shared bytes, at most 32 differing bits) finds copies with scattered changes in most cases, and
+neither all pairs of a given shingle similarity nor only those. So ``deduplicated``, which promises a similarity, takes
+its links from ``similar``: candidates by min-hashes, verified by their shingles.
 
 Exact copies meet once, when fingerprints are grouped (with map-side pre-aggregation); a group of copies of any size is
 one fingerprint. Components of the links come from ``components``; all steps are tables or shuffles by fingerprint or
@@ -40,6 +38,7 @@ from xxhash import xxh64_intdigest
 
 from conceptlake.llm.arrowtext import map_text
 from conceptlake.llm.components import components
+from conceptlake.llm.similar import similar_components
 from conceptlake.session import cut
 
 SEED = 42
@@ -67,19 +66,24 @@ LINKED = Scheme(4, 1, 4, 4, TRIPLES)
 SIMILAR = Scheme(2, 4, 32, 6, WIDE)
 
 
-def fingerprint(text: str | None, shingle: int = 4, lanes: int = 1) -> list[int]:
-    """The SimHash of a text: unsigned numbers of 64 bits. Lanes behind the first mix each shingle's hash anew."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; a text of fewer words is one shingle."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z are lowered, only the six ASCII blanks separate
-    if not words:
-        return [0] * lanes
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     if n == 1:
-        hashes = np.array([xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[: n - 1])).tolist()
-        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[: n - 1])).tolist()
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 4, lanes: int = 1) -> list[int]:
+    """The SimHash of a text: unsigned numbers of 64 bits. Lanes behind the first mix each shingle's hash anew."""
+    if not text or not text.encode().strip():
+        return [0] * lanes
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
     out = []
     for lane in range(lanes):
         if lane:
@@ -208,12 +212,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return joined.select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SIMILAR) -> DataFrame:
-    """The rows of ``df`` that stay: of each component the document with the smallest id.
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay: of each component of ``similar``'s links the document with the smallest id.
 
     Rows that repeat that id are one document, of which the first by text stays. Rows without id stay as they are.
     """
-    firsts = near_duplicates(df, id_col, text_col, scheme).where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("__first")).distinct()
+    firsts = similar_components(df, id_col, text_col).where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("__first")).distinct()
     stay = df.join(firsts, df[id_col] == firsts["__first"], "left_semi")
     one = stay.withColumn("__row", F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first()))).where("__row = 1").drop("__row")
     return one.unionByName(df.where(F.col(id_col).isNull()))
