@@ -44,3 +44,23 @@ def test_contiguous_edits_are_found(spark):
     texts = corpus(["cut", "append", "block", 0.015], 3)
     want = set(similar_components(texts, 0.8).values())
     assert len(want) < 0.6 * len(texts) and kept(spark, texts) == want
+
+
+def test_texts_below_stay(spark):
+    """Scattered changes at 0.55 to 0.75, and texts that have only a repeated line in common."""
+    texts = corpus([0.03, 0.045, 0.06], 4)
+    rng, line = random.Random(9), "all rights to this text are reserved by those who wrote it "
+    for _ in range(40):
+        texts[len(texts)] = line * 20 + " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(200))
+    want = set(similar_components(texts, 0.8).values())
+    assert len(want) > 0.9 * len(texts) and kept(spark, texts) == want
+
+
+def test_a_large_group_around_one_text(spark):
+    """Copies that are alike only by way of the text they were made from, which isn't the one with the smallest id."""
+    rng = random.Random(6)
+    base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    texts = {i: " ".join([*base[:at], *(f"new{i}x{k}" for k in range(24)), *base[at + 24 :]]) for i in range(150) for at in [rng.randrange(270)]}
+    texts[200] = " ".join(base)
+    want = set(similar_components(texts, 0.8).values())
+    assert len(want) == 1 and kept(spark, texts) == want
