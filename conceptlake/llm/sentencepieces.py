@@ -2,17 +2,21 @@
 
 A text is cut before each run of word marks, since no piece of the vocabulary has a mark after another character. In a
 chunk, an agenda holds the adjacent pairs that form a piece, best score first and leftmost among equals. Each candidate
-that is taken from the agenda is skipped if a keyed hash of (seed, variant, chunk, the candidate's place and width) falls
-below ``dropout``; it may come up again in another pair. Without dropout this is the library's segmentation.
+that is taken from the agenda is skipped with the probability ``dropout``; it may come up again in another pair. Without
+dropout this is the library's segmentation.
 
-The variant is a keyed hash of the text modulo ``variants``: equal texts have equal pieces, and a chunk has up to
-``variants`` segmentations for a seed, so workers can keep them in a cache of bounded size. Another seed (say, one for
-each epoch) gives other segmentations. Merges only: every result is made of merge-type pieces and single characters.
+Every occurrence of a chunk has draws of its own, from a generator keyed by (seed, the row's key, the text): the same word
+is cut differently from place to place, from document to document and from one repetition of a document to the next, and a
+rerun gives the same pieces. Draws are distances to the next skipped candidate (geometric), which is the same as a draw for
+each candidate. What a chunk's pieces are depends on these distances alone, so workers cache a tree for each chunk: a node
+holds the pieces if nothing more is skipped and the number of candidates up to there, a branch is a distance. Only the
+results are cached, never the draws. Merges only: every result is made of merge-type pieces and single characters.
 
 Decoding maps pieces to bytes. It is lossless for every text: characters outside the vocabulary are bytes, and so is a
 literal word mark (U+2581), which stands for a space otherwise.
 
-Defined results: null text is the empty text and has no pieces; repeated rows are encoded alike.
+Defined results: null text is the empty text and has no pieces; rows repeated in the kept columns and the text are numbered,
+and the number is part of their key.
 """
 
 from __future__ import annotations
@@ -21,14 +25,16 @@ import hashlib
 import heapq
 import re
 
-from pyspark.sql import DataFrame, types as T
+import numpy as np
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 from xxhash import xxh64_intdigest
 
 from conceptlake.llm.arrowtext import map_text
 
 MARK = "▁"
-#: Entries of each generation of a worker's cache; longer chunks are not kept.
+#: Nodes of each generation of a worker's cache; longer chunks are not kept.
 CACHE, LONGEST = 400_000, 32
+MASK = (1 << 64) - 1
 SPACES = re.compile(" *[^ ]+| +")
 
 
@@ -59,33 +65,44 @@ class Cache:
     """A bounded map of two generations: what isn't asked for while one generation fills is forgotten."""
 
     def __init__(self, size: int) -> None:
-        self.size, self.young, self.old = size, {}, {}
+        self.size, self.n, self.young, self.old = size, 0, {}, {}
 
-    def miss(self, key: str) -> list[int] | None:
-        """For a key that isn't among the young: its value if it is among the old."""
-        got = self.old.get(key)
+    def miss(self, key: str) -> list | None:
+        """For a key that isn't among the young: its tree if it is among the old."""
+        got = self.old.pop(key, None)
         if got is not None:
             self.put(key, got)
         return got
 
-    def put(self, key: str, value: list[int]) -> None:
+    def put(self, key: str, value: list) -> None:
         if len(key) <= LONGEST:
-            if len(self.young) >= self.size:
-                self.old, self.young = self.young, {}
+            self.grow()
             self.young[key] = value
 
+    def grow(self) -> None:
+        """Count a node."""
+        self.n += 1
+        if self.n > self.size:
+            self.old, self.young, self.n = self.young, {}, 0
+
 
 class Encoder:
-    def __init__(self, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 1) -> None:
-        self.pieces, self.dropout, self.seed, self.variants = Pieces(path), dropout, seed, max(1, variants)
-        self.limit = int(dropout * 2**64)
-        self.chunks = [Cache(CACHE // self.variants) for _ in range(self.variants)]
+    """``variants`` > 0 takes keys modulo that number, so that a text has so many segmentations at most; 0 leaves them."""
+
+    def __init__(self, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 0) -> None:
+        self.pieces, self.dropout, self.seed, self.variants = Pieces(path), dropout, seed, variants
+        self.cache = Cache(CACHE)
+
+    def distances(self, rng: np.random.Generator, n: int) -> list[int]:
+        """Numbers of candidates that are kept before the next one is skipped."""
+        return (rng.geometric(self.dropout, n) - 1).tolist()
 
-    def variant(self, text: str) -> int:
-        return xxh64_intdigest(text.encode(), self.seed) % self.variants if self.variants > 1 else 0
+    def chunk(self, chunk: str, skipped: tuple[int, ...] = (), more=None) -> tuple[list[int], int, list[int]]:
+        """The ids of one chunk (spaces are spaces here), the number of candidates and those that were skipped.
 
-    def chunk(self, chunk: str, variant: int) -> list[int]:
-        """The ids of one chunk (spaces are spaces here)."""
+        ``skipped`` are the numbers of the candidates to skip, in order; ``more`` (if given) is asked for the distance to
+        each next one behind them.
+        """
         ids, find = self.pieces.ids, self.pieces.rank.get
         # A literal mark is shown as U+0000, which no piece has; it is spelt in bytes at the end.
         text = chunk.replace(MARK, "\0").replace(" ", MARK)
@@ -98,8 +115,8 @@ class Encoder:
         push, pop = heapq.heappush, heapq.heappop
         agenda = [r << top | i << bits | 2 for i, r in enumerate(map(find, map(str.__add__, text, text[1:]))) if r is not None]
         heapq.heapify(agenda)
-        limit = self.limit
-        key = xxh64_intdigest(chunk.encode(), self.seed * 1_000_003 + variant) if limit and agenda else 0
+        at, hit, todo = 0, [], list(skipped[::-1])
+        skip = todo.pop() if todo else more() if more else -1
         while agenda:
             item = pop(agenda)
             w, i = item & mask, item >> bits & mask
@@ -109,7 +126,10 @@ class Encoder:
             j = i + a
             if width[j] != w - a:
                 continue
-            if limit and (key ^ (i << 20 | w)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF < limit:
+            at += 1
+            if at - 1 == skip:
+                hit.append(skip)
+                skip = todo.pop() if todo else at + more() if more else -1
                 continue
             width[i], width[j] = w, 0
             k = i + w
@@ -135,21 +155,61 @@ class Encoder:
                 raw = (MARK if chunk[i] == MARK else chunk[i]).encode()
                 out += [self.pieces.byte_id[b] for b in raw]
             i += width[i]
-        return out
+        return out, at, hit
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str, key: int = 0) -> list[int]:
+        """The ids of a text; ``key`` tells repetitions of the text apart."""
         if not text:
             return []
-        variant = self.variant(text)
-        cache, out = self.chunks[variant], []
-        for c in SPACES.findall(" " + text):
-            got = cache.young.get(c) or cache.miss(c)
-            if got is None:
-                got = self.chunk(c, variant)
-                cache.put(c, got)
-            out += got
+        chunks = SPACES.findall(" " + text)
+        cache, out, dropout = self.cache, [], self.dropout
+        if dropout > 0:
+            key = key % self.variants if self.variants else key
+            rng = np.random.Generator(np.random.PCG64([self.seed & MASK, key & MASK, xxh64_intdigest(text.encode())]))
+            draws = self.distances(rng, len(chunks))
+            spare: list[int] = []
+
+            def more() -> int:
+                if not spare:
+                    spare.extend(self.distances(rng, 64))
+                return spare.pop()
+
+        else:
+            draws = [1 << 62] * len(chunks)
+            more = None
+        for c, skip in zip(chunks, draws, strict=True):
+            # A node is [ids, number of candidates, branches]; the first two are None until they are known.
+            node = cache.young.get(c) or cache.miss(c)
+            if node is None:
+                node = [None, None, None]
+                cache.put(c, node)
+            skipped: tuple[int, ...] = ()
+            while True:
+                n = node[1]
+                if n is not None and skip >= n:
+                    out += node[0]
+                    break
+                branch = node[2].get(skip) if node[2] else None
+                if branch is None:
+                    out += self.grown(c, node, skipped, skip, more)
+                    break
+                skipped, node = (*skipped, skip), branch
+                skip += 1 + more()
         return out
 
+    def grown(self, c: str, node: list, skipped: tuple[int, ...], skip: int, more) -> list[int]:
+        """The ids of a chunk by a path that isn't in its tree yet; ``node`` is where ``skipped`` leads to."""
+        ids, n, hit = self.chunk(c, (*skipped, skip), more)
+        if len(c) <= LONGEST:
+            for k in hit[len(skipped) :]:
+                node[2] = node[2] or {}
+                if k not in node[2]:
+                    node[2][k] = [None, None, None]
+                    self.cache.grow()
+                node = node[2][k]
+            node[0], node[1] = ids, n
+        return ids
+
     def decode(self, ids: list[int]) -> str:
         """The text again; the space that encoding puts in front is dropped."""
         return b"".join(map(self.pieces.bytes.__getitem__, ids))[1:].decode()
@@ -161,14 +221,27 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def encode_column(df: DataFrame, keep: list[str], *, text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int = 1) -> DataFrame:
+def numbered(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """``keep``, the text, and ``__key``: a hash of ``keep`` and the number among rows that are repeated in both."""
+    rows = df.select(*keep, F.col(text_col).alias("__t"))
+    same = Window.partitionBy(F.xxhash64(*keep, "__t")).orderBy(F.lit(0))
+    return rows.withColumn("__key", F.xxhash64(*keep, F.row_number().over(same)))
+
+
+def map_keyed(df: DataFrame, keep: list[str], text_col: str, schema: list, start) -> DataFrame:
+    """``map_text`` over (key, text) of ``numbered`` rows."""
+    rows = numbered(df, keep, text_col)
+    return map_text(rows.select(*keep, F.struct("__key", "__t").alias("__text")), keep, schema, start, "__text")
+
+
+def encode_column(df: DataFrame, keep: list[str], *, text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int = 0) -> DataFrame:
     """``keep`` columns with ``pieces`` (array of ids) for every whole text."""
 
     def start():
         encoder = Encoder(model or model_path(), dropout, seed, variants)
-        return lambda texts: [(encoder.encode(t or ""),) for t in texts]
+        return lambda rows: [(encoder.encode(r["__t"] or "", r["__key"]),) for r in rows]
 
-    return map_text(df, keep, [("pieces", T.ArrayType(T.IntegerType()))], start, text_col)
+    return map_keyed(df, keep, text_col, [("pieces", T.ArrayType(T.IntegerType()))], start)
 
 
 def decode_column(df: DataFrame, keep: list[str], *, pieces_col: str = "pieces", model: str | None = None) -> DataFrame:
@@ -181,17 +254,17 @@ def decode_column(df: DataFrame, keep: list[str], *, pieces_col: str = "pieces",
     return map_text(df, keep, [("text", T.StringType())], start, pieces_col)
 
 
-def encode_and_decode(df: DataFrame, keep: list[str], *, text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int = 1) -> DataFrame:
+def encode_and_decode(df: DataFrame, keep: list[str], *, text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int = 0) -> DataFrame:
     """``keep`` with n_bytes, n_pieces, pieces_sha256 (ids, comma-joined), decoded_sha256 and lossless, for every text."""
 
     def start():
         encoder = Encoder(model or model_path(), dropout, seed, variants)
 
-        def step(texts: list) -> list[tuple]:
+        def step(rows: list) -> list[tuple]:
             out = []
-            for t in texts:
-                text = t or ""
-                ids = encoder.encode(text)
+            for r in rows:
+                text = r["__t"] or ""
+                ids = encoder.encode(text, r["__key"])
                 back = encoder.decode(ids)
                 out.append((len(text.encode()), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
             return out
@@ -199,4 +272,4 @@ def encode_and_decode(df: DataFrame, keep: list[str], *, text_col: str = "text",
         return step
 
     names = [("n_bytes", T.LongType()), ("n_pieces", T.LongType()), ("pieces_sha256", T.StringType()), ("decoded_sha256", T.StringType()), ("lossless", T.BooleanType())]
-    return map_text(df, keep, names, start, text_col)
+    return map_keyed(df, keep, text_col, names, start)
