@@ -74,7 +74,7 @@ QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_fingerprints, op
 
 def _spans(rule: secrets.Rule, k: int) -> str:
     """Rows (doc_id, k, a, b) of one rule: gaps and matches alternate, so their lengths give the places."""
-    pattern = rule.pattern.replace("'", "''")
+    pattern = (rule.sql or rule.pattern).replace("'", "''")
     value = f"regexp_extract(m[i], '{pattern}', {rule.group})"
     return f"""
 SELECT doc_id, {k} AS k, a, a + length(m[i]) AS b FROM (

@@ -34,8 +34,13 @@ class Rule:
     pattern: str
     group: int = 0
     least: int = 0
+    sql: str | None = None  #: the SQL twin's pattern, where it isn't ``pattern``
 
 
+#: A private key is its block up to the END line of the same label, before any other block; if there is none, the lines
+#: of base64 (or of a key's headers) behind the BEGIN line, whose breaks may be written as \n.
+_KEY = r"(?:(?:(?!-----BEGIN\x20)[\x00-\U0010ffff])*?-----END\x20\1PRIVATE\x20KEY-----|(?:(?:[\x20\x09-\x0d]|\\[nr])*(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]+={1,2}|(?:Proc-Type|DEK-Info):[^\r\n\\]*))*)"
+
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
@@ -47,8 +52,8 @@ MORE = (
     Rule("cloud", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("pay", r"[rs]k_live_[A-Za-z0-9]+", 0, 24),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("login", r"://[A-Za-z0-9._~-]{1,64}:[^ /:@\x09-\x0d]{1,128}@", 0, 8),
+    Rule("pem", r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----" + _KEY, sql=r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("login", r"://[A-Za-z0-9._~-]+:[^ /:@\x09-\x0d]+@", 0, 8, sql=r"://[A-Za-z0-9._~-]{1,64}:[^ /:@\x09-\x0d]{1,128}@"),
 )
 RULES = BASE + MORE
 
