@@ -6,9 +6,35 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from conceptlake.session import bounded_batches
+#: Bounds of what is held as Python objects at once: rows, and bytes (a longer text is alone).
+ROWS, BYTES = 1024, 4 << 20
+
+
+def sizes(column: pa.Array) -> np.ndarray:
+    """About how many bytes each value has."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_binary(kind):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        return 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pa.types.is_struct(kind):
+        return np.sum([sizes(f) for f in column.flatten()], axis=0) if kind.num_fields else np.zeros(len(column), np.int64)
+    return np.full(len(column), 8, np.int64)
+
+
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``ROWS`` rows, and of about ``BYTES`` of column ``at``, in order."""
+    ends = np.cumsum(sizes(batch.column(at)))
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        n = int(np.searchsorted(ends[start : start + ROWS], before + BYTES, "right"))
+        n = max(1, n)
+        yield batch.slice(start, n)
+        start += n
 
 
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -42,10 +68,11 @@ def map_text(
 ) -> DataFrame:
     """Add columns computed from whole texts, without a shuffle.
 
-    ``keep`` columns pass through untouched; ``start`` is called once per task and returns a function from the
-    list of a batch's texts (None for null) to a list of tuples, one for each new column of ``schema``.
+    ``keep`` columns pass through untouched, but for one that has the name of a new column, which gives way to it;
+    ``start`` is called once per task and returns a function from a list of texts (None for null) to a list of tuples, one
+    for each new column of ``schema``.
     """
-    bounded_batches(df.sparkSession)
+    keep = [c for c in keep if c not in {n for n, _ in schema}]
     source = df.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
     out = T.StructType([*[source.schema[c] for c in keep], *[T.StructField(n, k) for n, k in schema]])
     kinds = [arrow_type(k) for _, k in schema]
@@ -54,10 +81,10 @@ def map_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            rows = step(texts)
-            cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            arrays = [pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=names)
+            for part in slices(batch, batch.num_columns - 1):
+                rows = step(part.column(part.num_columns - 1).to_pylist())
+                cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+                arrays = [pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=names)
 
     return source.mapInArrow(run, out)

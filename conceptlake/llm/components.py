@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from conceptlake.session import cut
+from conceptlake.session import cut, drop
 
 
 def loose(name: str) -> Column:
@@ -17,7 +17,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round joins every node to the least neighbour (large star: the greater neighbours; small star: the smaller
     ones) until nothing changes, in O(log² n) rounds. Sums and minima are taken before shuffles; rounds are cut by
-    tables in the shared scratch folder, so a lost executor costs at most a round.
+    tables in the shared scratch folder, each deleted when the next is there, so a lost executor costs at most a round.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
@@ -31,5 +31,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(loose("a"), "m")
         small = large.join(least, "a")
-        now = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(small.select("a", F.col("m").alias("b"))).distinct())
+        then = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(small.select("a", F.col("m").alias("b"))).distinct())
+        drop(now)
+        now = then
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -9,25 +9,26 @@ which plain MinHash does not see.
 ``fingerprint_pairs`` also compares each document with the next in ascending id and with an edited copy that takes over
 that one's beginning. Documents are dealt to blocks of neighbouring ids: block boundaries are quantiles of the id column,
 which are ids that occur, so that a block's first document is known from its boundary and is copied to the block before
-as its last document's neighbour. One shuffle moves each text once; a task streams its blocks in order and holds two
-documents.
+as its last document's neighbour. An id that has the rows of several blocks, and the rows without id, are dealt to as many
+blocks by a hash of the text. One shuffle moves each text once; a task streams its blocks in order and holds two documents.
 
 Defined results: null text is empty; the empty text has a fingerprint of its own; with one document, the next is itself;
-rows of equal id follow each other by text, nulls first; rows whose id is null come last, in text order; an empty table
-gives no rows.
+rows of equal id follow each other by text, nulls first, or by the text's hash where the id has several blocks; rows whose
+id is null come last, by the text's hash; an empty table gives no rows. Ids are numbers, dates or times.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from conceptlake.llm.arrowtext import arrow_type
-from conceptlake.session import bounded_batches
+from conceptlake.errors import InvalidParameter
+from conceptlake.llm.arrowtext import arrow_type, slices
 
 K, L, M = 8, 2, 48
 EMPTY = "0" * (4 * M)
@@ -137,27 +138,19 @@ def edited(text: str, following: str) -> str:
 def fingerprint_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, blocks: int | None = None, k: int = K, l: int = L, m: int = M, seed: int = 42) -> DataFrame:  # noqa: E741
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row for each row."""
     spark = df.sparkSession
-    bounded_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks or parts
+    kind = df.select(id_col).schema[0].dataType
+    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        raise InvalidParameter(f"ids are numbers, dates or times, not {kind.simpleString()}")
+    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ask = F.percentile_approx("id", [i / blocks for i in range(1, blocks)], 100 * blocks) if blocks > 1 else F.array()
-    low, inner, total = rows.agg(F.min("id"), ask, F.count(F.lit(1))).first()
-    schema = T.StructType([T.StructField(id_col, df.select(id_col).schema[0].dataType), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
-    # Ids that occur, ascending: block i holds the ids from starts[i] to before starts[i + 1]. Null ids go with the last block.
-    starts = sorted({low, *(inner or [])}) if low is not None else []
-    n = max(1, len(starts))
-    if starts:
-        bound = spark.createDataFrame([(x, i) for i, x in enumerate(starts)], T.StructType([T.StructField("__start", df.select(id_col).schema[0].dataType), T.StructField("__at", T.IntegerType())]))
-        rows = rows.withColumn("block", block_of(F.col("id"), starts))
-        firsts = rows.join(F.broadcast(bound), rows["id"] == bound["__start"], "left")
-        copy = F.when(F.col("__at").isNotNull(), F.pmod(F.col("__at") - 1, F.lit(n)))
-        rows = firsts.select("id", "text", F.explode(F.array_compact(F.array(F.struct(F.col("block"), F.lit(0).alias("ghost")), F.when(copy.isNotNull(), F.struct(copy.alias("block"), F.lit(1).alias("ghost")))))).alias("b")).select("b.block", "b.ghost", "id", "text")
-    else:
-        rows = rows.select(F.lit(0).alias("block"), F.lit(0).alias("ghost"), "id", "text")
-        first = rows.select("block", F.lit(1).alias("ghost"), "id", "text").orderBy(F.col("text").asc_nulls_first()).limit(1)
-        rows = rows.unionByName(first)
-    rows = rows.repartitionById(n, F.col("block").cast("int")).sortWithinPartitions("block", "ghost", F.col("id").asc_nulls_last(), F.col("text").asc_nulls_first())
+    rows, firsts = blocked(rows, kind, blocks)
+    # The block before the first is the last.
+    bound = spark.createDataFrame([(x, h, firsts[i - 1][0]) for i, (_, x, h) in enumerate(firsts)], T.StructType([T.StructField("__start", kind), T.StructField("__h", T.LongType()), T.StructField("__to", T.IntegerType())]))
+    copied = rows.join(F.broadcast(bound), rows["id"].eqNullSafe(bound["__start"]) & (rows["h"] == bound["__h"]), "left")  # a row a block
+    own, ghost = F.struct(F.col("block"), F.lit(0).alias("ghost")), F.struct(F.col("__to").alias("block"), F.lit(1).alias("ghost"))
+    rows = copied.select("id", "h", "text", F.explode(F.array_compact(F.array(own, F.when(F.col("__to").isNotNull(), ghost)))).alias("b")).select("b.block", "b.ghost", "id", "h", "text")
+    rows = rows.repartitionById(max(1, len(firsts), *(f[0] + 1 for f in firsts)) if firsts else 1, F.col("block")).sortWithinPartitions("block", "ghost", F.col("id").asc_nulls_last(), "h", F.col("text").asc_nulls_first())
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         omh = OrderMinHash(k, l, m, seed)
@@ -169,7 +162,7 @@ def fingerprint_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             two = own if text2 == text else omh.signature(text2)
             out.append((key, len(text), hashlib.sha256(text2.encode()).hexdigest(), as_hex(own), as_hex(two), likeness(own, two), likeness(own, follow[1])))
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 3)):
             for block, ghost, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if ghost and (held is None or held[0] != block):
                     continue  # a further copy of the same boundary
@@ -187,13 +180,46 @@ def fingerprint_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("block", "ghost", "id", "text").mapInArrow(run, schema)
 
 
-def block_of(x: Column, starts: list) -> Column:
-    """Binary search as an expression: the last index whose start is at most ``x``; null is in the last block."""
-
-    def at(a: int, b: int) -> Column:
-        if b - a == 1:
-            return F.lit(a)
-        mid = (a + b) // 2
-        return F.when(x < F.lit(starts[mid]), at(a, mid)).otherwise(at(mid, b))
-
-    return F.when(x.isNull(), F.lit(len(starts) - 1)).otherwise(at(0, len(starts)))
+def blocked(rows: DataFrame, kind: T.DataType, blocks: int) -> tuple[DataFrame, list[tuple]]:
+    """``rows`` (id, text) with ``h`` and ``block``, and (block, id, h) of the first row of each block that has rows.
+
+    ``h`` is a hash of the text where an id has several blocks, and 0 elsewhere.
+    """
+    total, low, nulls = rows.agg(F.count(F.lit(1)), F.min("id"), F.count_if(F.col("id").isNull())).first()
+    of_null = -(-nulls * blocks // total) if nulls else 0
+    of_ids = max(1, blocks - of_null)
+    inner = rows.agg(F.percentile_approx("id", [i / of_ids for i in range(1, of_ids)], 100 * of_ids)).first()[0] if of_ids > 1 and low is not None else []
+    # How many blocks begin at each start, which are ids that occur.
+    starts = sorted(Counter([low, *inner]).items()) if low is not None else []
+    base = [0]
+    for _, n in starts:
+        base.append(base[-1] + n)
+    width = [n for _, n in starts] + [of_null]
+    array = lambda xs, as_type: F.array(*[F.lit(x) for x in xs]).cast(T.ArrayType(as_type))
+    at = F.when(F.col("id").isNull(), F.lit(len(starts))).otherwise(position(F.col("id"), [x for x, _ in starts], kind)) if starts else F.lit(0)
+    placed = rows.withColumn("__i", at).withColumn("__n", F.element_at(array(width, T.IntegerType()), F.col("__i") + 1))
+    is_start = F.col("id").isNull() | (F.col("id") == F.element_at(array([*(x for x, _ in starts), low], kind), F.col("__i") + 1))
+    several = F.col("__n") > 1
+    placed = placed.withColumn("h", F.when(F.col("id").isNull() | (several & is_start), F.shiftrightunsigned(F.xxhash64("text"), 1)).otherwise(F.lit(0).cast("long")))
+    # The rows of a start's id share its blocks by their hash; the ids behind it are in the last of them.
+    inside = F.when(several & is_start, F.shiftright(F.shiftright("h", 32) * F.col("__n"), 31)).when(several, F.col("__n") - 1).otherwise(0)
+    placed = placed.withColumn("block", (F.element_at(array(base, T.IntegerType()), F.col("__i") + 1) + inside).cast("int"))
+    firsts = [(base[i], x, 0) for i, (x, n) in enumerate(starts) if n == 1]
+    if nulls or len(firsts) < len(starts):
+        wide = placed.where(several | F.col("id").isNull()).groupBy("block").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))).alias("f"))
+        firsts += [(r["block"], r["f"]["id"], r["f"]["h"]) for r in wide.collect()]  # a row a block
+    return placed.select("id", "h", "text", "block"), sorted(firsts, key=lambda f: f[0])
+
+
+def position(x: Column, starts: list, kind: T.DataType) -> Column:
+    """The last index whose start is at most ``x``, by binary search in an array."""
+    array = F.array(*[F.lit(s) for s in starts]).cast(T.ArrayType(kind))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["low"] + acc["high"], 1)
+        down = x < F.element_at(array, middle + 1)
+        open_ = acc["high"] - acc["low"] > 1
+        return F.struct(F.when(open_ & ~down, middle).otherwise(acc["low"]).alias("low"), F.when(open_ & down, middle).otherwise(acc["high"]).alias("high"))
+
+    ends = F.struct(F.lit(0).alias("low"), F.lit(len(starts)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(starts).bit_length())), ends, halve, lambda acc: acc["low"])

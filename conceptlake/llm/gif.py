@@ -1,14 +1,20 @@
 """GIF: an encoder and decoder of animated images, and media columns made with them.
 
-``encode`` writes samples as greyscale frames (LZW, variable code width, clear codes when the table is full).
+``encode`` writes samples as frames (LZW, variable code width, clear codes when the table is full), one chunk of samples a
+timed frame, each in the way that its content picks: with the global palette; with a local palette that orders its values
+by frequency; as an overlay whose most frequent value is transparent, over an underlay of no duration, and which is put
+back (disposal 3); or as what differs from the canvas, the rest transparent. So a reader gets the samples only if it
+applies palettes, transparency and disposal.
+
 ``decode`` reads any GIF87a/89a: it decodes LZW code streams, applies global and local palettes, interlacing,
-transparency and the three disposal rules, and gives the canvas after each frame with its time.
+transparency and the disposal rules, and gives the canvas after each frame with its time.
 
 ``media_columns`` stores every text's bytes, padded to a multiple of ``ROW``, in a GIF, and then reads the stored
-bytes back: the features come from the decoded frames only. It is a map over rows; a text is in one task alone.
+bytes back: payload, timed frames and their colour histograms come from the decoded canvases only. It is a map over rows;
+a text is in one task alone.
 
-Defined results: null text is the empty text, a payload of one zero row; equal texts have equal values; a broken
-stream raises ``ValueError`` in ``decode``. Time and memory are linear in a text's bytes.
+Defined results: null text is the empty text, a payload of one zero row; equal texts have equal values; a stream that is
+broken or cut off anywhere raises ``ValueError`` in ``decode``. Time and memory are linear in a text's bytes.
 """
 
 from __future__ import annotations
@@ -18,13 +24,14 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, types as T
 
 from conceptlake.llm.arrowtext import map_text
 
-ROW, ROWS = 64, 256
+ROW, ROWS = 64, 64
 #: Hundredths of a second that a frame of stored samples is shown.
 DELAY = 4
 BINS = 64
@@ -96,6 +103,8 @@ def pack(codes: np.ndarray, w: np.ndarray) -> bytes:
 
 def lzw_decode(stream: bytes, bits: int, n: int) -> bytes:
     """The first ``n`` samples of an LZW code stream."""
+    if not 2 <= bits <= 8:
+        raise ValueError(f"LZW codes of {bits} bits")
     clear, end = 1 << bits, (1 << bits) + 1
     data = np.concatenate((np.frombuffer(stream, np.uint8), np.zeros(4, np.uint8))).astype(np.uint32)
     total, at = len(stream) * 8, 0
@@ -151,19 +160,64 @@ def _blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(x)]) + x for x in parts) + b"\x00"
 
 
-GREY = bytes(v for i in range(256) for v in (i, i, i))
+#: The colour of each sample value: red is the value, green and blue spread it over the colour bins.
+COLOURS = np.array([(v, v * 37 & 255, v * 101 & 255) for v in range(256)], np.uint8)
+
+
+@lru_cache(maxsize=ROWS)
+def _underlay(n: int) -> bytes:
+    """The code stream of ``n`` samples of index 0."""
+    return lzw_encode(bytes(n), 2)
+
+
+def _image(height: int, width: int, stream: bytes, *, disposal: int, delay: int, clear: int | None = None, palette: np.ndarray | None = None, bits: int = 8) -> bytes:
+    """A graphic control block and an image at the canvas's upper left corner."""
+    control = b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (clear is not None), delay, clear or 0) + b"\x00"
+    local = 0 if palette is None else 0x80 | len(palette).bit_length() - 2
+    head = b"\x2c" + struct.pack("<HHHHB", 0, 0, width, height, local)
+    return control + head + (b"" if palette is None else palette.tobytes()) + bytes([bits]) + _blocks(stream)
 
 
 def encode(samples: bytes, width: int = ROW, rows: int = ROWS, delay: int = DELAY) -> bytes:
-    """An animated GIF whose frames, one below the other, hold ``samples`` (a positive multiple of ``width``)."""
+    """An animated GIF whose timed frames, one below the other, hold ``samples`` (a positive multiple of ``width``)."""
     if not samples or len(samples) % width:
         raise ValueError("samples must fill whole rows")
     height = min(rows, len(samples) // width)
-    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), GREY, b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00"]
+    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), COLOURS.tobytes(), b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00"]
+    # The canvas as a reader has it: the value of each pixel, -1 where nothing is shown.
+    canvas = np.full(height * width, -1, np.int64)
     for i in range(0, len(samples), width * rows):
         frame = samples[i : i + width * rows]
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay, 0) + b"\x00")
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(frame) // width, 0) + b"\x08" + _blocks(lzw_encode(frame)))
+        v, n, h = np.frombuffer(frame, np.uint8), len(frame), len(frame) // width
+        way = zlib.crc32(frame) % 4
+        counts = np.bincount(v, minlength=256)
+        if way == 3:
+            same, unused = canvas[:n] == v, np.flatnonzero(counts == 0)
+            if same.any() and len(unused):
+                clear = int(unused[0])
+                out.append(_image(h, width, lzw_encode(np.where(same, np.uint8(clear), v).tobytes()), disposal=1, delay=delay, clear=clear))
+                canvas[:n] = v
+                continue
+            way = 0
+        if way == 0:
+            out.append(_image(h, width, lzw_encode(frame), disposal=1, delay=delay))
+            canvas[:n] = v
+            continue
+        order = np.argsort(-counts, kind="stable").astype(np.uint8)
+        index = np.empty(256, np.uint8)
+        index[order] = np.arange(256, dtype=np.uint8)
+        stream = lzw_encode(index[v].tobytes())
+        if way == 1:
+            out.append(_image(h, width, stream, disposal=2, delay=delay, palette=COLOURS[order]))
+            canvas[:n] = -1
+        else:
+            common = order[0]
+            under = COLOURS[np.array([common, 0, 0, 0])]
+            out.append(_image(h, width, _underlay(n), disposal=1, delay=0, palette=under, bits=2))
+            canvas[:n] = common
+            over = COLOURS[order]
+            over[0] = 255 - over[0]  # never seen, as it is transparent
+            out.append(_image(h, width, stream, disposal=3, delay=delay, clear=0, palette=over))
     out.append(b"\x3b")
     return b"".join(out)
 
@@ -181,15 +235,27 @@ class Frame:
 
 def decode(data: bytes) -> Iterator[Frame]:
     """The frames of a GIF, one at a time; each has arrays of its own."""
+    try:
+        yield from _frames(data)
+    except (struct.error, IndexError) as e:
+        raise ValueError("the GIF ends early") from e
+
+
+def _frames(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
     at = 13
+
+    def colour_table(at: int, flags: int) -> tuple[np.ndarray, int]:
+        end = at + 3 * (2 << (flags & 7))
+        if end > len(data):
+            raise ValueError("the GIF ends early")
+        return np.frombuffer(data, np.uint8, end - at, at).reshape(-1, 3), end
+
     palette = None
     if flags & 0x80:
-        size = 2 << (flags & 7)
-        palette = np.frombuffer(data, np.uint8, 3 * size, at).reshape(-1, 3)
-        at += 3 * size
+        palette, at = colour_table(at, flags)
     canvas, shown = np.zeros((height, width, 3), np.uint8), np.zeros((height, width), bool)
     delay, disposal, transparent, start = 0, 0, None, 0
 
@@ -200,7 +266,7 @@ def decode(data: bytes) -> Iterator[Frame]:
             at += 1 + n
         return b"".join(parts), at + 1
 
-    while at < len(data) and data[at] != 0x3B:
+    while data[at] != 0x3B:
         if data[at] == 0x21:
             body, after = sub_blocks(at + 2)
             if data[at + 1] == 0xF9 and len(body) >= 4:
@@ -214,9 +280,7 @@ def decode(data: bytes) -> Iterator[Frame]:
         at += 10
         colours = palette
         if local & 0x80:
-            size = 2 << (local & 7)
-            colours = np.frombuffer(data, np.uint8, 3 * size, at).reshape(-1, 3)
-            at += 3 * size
+            colours, at = colour_table(at, local)
         if colours is None:
             raise ValueError("no palette")
         bits = data[at]
@@ -259,13 +323,14 @@ def pad(data: bytes, row: int = ROW) -> bytes:
 
 
 def frames_of(media: bytes) -> tuple[bytes, list[tuple[int, int, int, list[int]]]]:
-    """The samples stored in a greyscale GIF, and (start, delay, rows, histogram) of each frame."""
+    """The samples stored in a GIF of ``encode``'s, and (start, delay, rows, histogram) of each timed frame."""
     samples, rows = [], []
     for f in decode(media):
-        left, top, w, h = f.box
-        drawn = f.canvas[top : top + h, left : left + w]
-        samples.append(drawn[:, :, 0].tobytes())
-        rows.append((f.start, f.delay, h, histogram(drawn).tolist()))
+        if f.delay:
+            left, top, w, h = f.box
+            drawn = f.canvas[top : top + h, left : left + w]
+            samples.append(drawn[:, :, 0].tobytes())
+            rows.append((f.start, f.delay, h, histogram(drawn).tolist()))
     return b"".join(samples), rows
 
 

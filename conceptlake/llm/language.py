@@ -1,37 +1,41 @@
 """Language ID by nearest centroids.
 
-A text's letters (lower case; runs of anything else are one space) give character n-grams of 1 to 3, hashed to ``DIM``
-places; the TF-IDF vector is normalised. For each language spherical k-means gives ``clusters`` centroids; the score of
-a language is the best cosine with one of its centroids. A text is rejected if its distance (1 - cosine) from the
-nearest centroid is beyond what training texts of that centroid have, by ``slack``; op9's contract wants a language for
-every text with letters, so rejection is a column of its own.
+A text's letters (lower case, with their combining marks; runs of anything else are one space) give character n-grams of
+1 to 3, hashed to ``DIM`` places; the TF-IDF vector is normalised. For each language spherical k-means gives ``clusters``
+centroids; the score of a language is the best cosine with one of its centroids. A text is rejected if its distance
+(1 - cosine) from the nearest centroid is beyond what training texts of that centroid have, by ``slack``; op9's contract
+wants a language for every text with letters, so rejection is a column of its own.
 
-Training uses at most ``sample`` labelled rows of each language, those with the smallest keyed hashes, and whole texts
-of them; n-gram statistics (IDF) are the classifier's own and come from them. Predictions use the text only.
+Training uses at most ``sample`` labelled rows of each language, those with the smallest keyed hashes, and at most ``most``
+rows in all, an equal number of each language where that binds. Whole texts are counted on the executors; the driver gets
+sparse counts (``DIM`` places at most for a row), in a constant number of jobs. N-gram statistics (IDF) are the classifier's
+own and come from these rows. Predictions use the text only.
 
 Defined results: null text, or one without a letter: ``und``, score 0, not accepted. Ties of languages go to the first in
-order. Rows without language, and empty ones, train nothing; without labelled rows every text is ``und`` and rejected.
+order. Rows without language, text or id, and texts without letters, train nothing; rows that repeat an id in one language
+are one, by the least text; without labelled rows every text is ``und`` and rejected.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import regex
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from conceptlake.llm.arrowtext import map_text
+from conceptlake.llm.sampling import smallest_hashes_of_each
 
 DIM = 1 << 13
-SAMPLE, CLUSTERS, SLACK = 400, 3, 0.15
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+SAMPLE, MOST, CLUSTERS, SLACK = 400, 8000, 3, 0.15
+NOT_LETTERS, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def grams(text: str) -> np.ndarray | None:
     """Counts of hashed n-grams, or None without a letter."""
     text = NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not text:
+    if not LETTER.search(text):
         return None
     c = np.frombuffer(f" {text} ".encode("utf-32-le"), np.uint32)
     one = c * np.uint32(0x9E3779B1)
@@ -41,6 +45,23 @@ def grams(text: str) -> np.ndarray | None:
     return np.bincount(places, minlength=DIM).astype(np.float32)
 
 
+def sparse(text: str | None) -> bytes | None:
+    """``grams`` as bytes: the places that occur and their counts."""
+    counts = grams(text) if text else None
+    if counts is None:
+        return None
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + counts[at].astype("<f4").tobytes()
+
+
+def dense(rows: list[bytes]) -> np.ndarray:
+    x = np.zeros((len(rows), DIM), np.float32)
+    for i, raw in enumerate(rows):
+        n = len(raw) // 6
+        x[i, np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<f4", n, 2 * n)
+    return x
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     """Spherical k-means with farthest-first starts: deterministic."""
     centres = [x.mean(0)]
@@ -75,20 +96,19 @@ class Model:
         return self.languages[self.owner[best]], score, bool(1.0 - score <= self.farthest[best])
 
 
-def fit(rows: list[tuple[str, str]], clusters: int = CLUSTERS, slack: float = SLACK) -> Model:
-    """From (text, language) rows."""
-    pairs = [(g, lang) for text, lang in rows if text and lang is not None and (g := grams(text)) is not None]
-    if not pairs:
+def fit(rows: list[tuple[bytes, str]], clusters: int = CLUSTERS, slack: float = SLACK) -> Model:
+    """From (sparse counts, language) rows; the vectors of one language at a time are held in full."""
+    if not rows:
         return Model([], np.zeros(DIM, np.float32), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0))
-    x = np.array([g for g, _ in pairs], np.float32)
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    x *= idf
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    languages = sorted({lang for _, lang in pairs})
-    of = np.array([languages.index(lang) for _, lang in pairs])
+    having = np.zeros(DIM)
+    for raw, _ in rows:
+        having[np.frombuffer(raw, "<u2", len(raw) // 6)] += 1
+    idf = (np.log((1 + len(rows)) / (1 + having)) + 1).astype(np.float32)
+    languages = sorted({lang for _, lang in rows})
     centres, owner, limits = [], [], []
-    for k in range(len(languages)):
-        own = x[of == k]
+    for k, language in enumerate(languages):
+        own = dense([raw for raw, lang in rows if lang == language]) * idf
+        own /= np.linalg.norm(own, axis=1, keepdims=True)
         c = k_means(own, clusters)
         cos = own @ c.T
         nearest = cos.argmax(1)
@@ -104,20 +124,17 @@ def remainder(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def train(df: DataFrame, may_learn: Column, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, seed: int = 42, **options) -> Model:
-    """A model from at most ``sample`` labelled rows of each language.
-
-    Rows are chosen in two steps by keyed hash: the first few of each of 64 salts of a language, then the first of those.
-    So a hot language is spread over tasks, and the second step reads ``4 * sample`` rows of a language at most.
-    """
-    each = max(16, -(-4 * sample // 64))
-    known = df.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
-    salted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "id")
-    some = known.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= each).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= sample)
-    chosen = some.select(F.col("id").alias("__id")).distinct()
-    texts = df.where(may_learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).join(F.broadcast(chosen), "__id", "left_semi").select("t", "l")
-    rows = sorted((r[1], r[0]) for r in texts.toLocalIterator() if r[0])
-    return fit([(t, lang) for lang, t in rows], **options)
+def train(df: DataFrame, may_learn: Column, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, most: int = MOST, seed: int = 42, **options) -> Model:
+    """A model from at most ``sample`` labelled rows of each language, and ``most`` in all."""
+    known = df.where(may_learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
+    chosen = smallest_hashes_of_each(known, "__lang", "__id", sample, most, seed)
+    texts = known.join(F.broadcast(chosen), ["__lang", "__id"], "left_semi").groupBy("__lang", "__id").agg(F.min("__text").alias("__text"))  # at most `most` rows
+
+    def start():
+        return lambda some: [(sparse(t),) for t in some]
+
+    rows = map_text(texts, ["__lang"], [("counts", T.BinaryType())], start, "__text").where("counts IS NOT NULL").collect()
+    return fit(sorted((bytes(r["counts"]), r["__lang"]) for r in rows), **options)
 
 
 def identify(df: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:

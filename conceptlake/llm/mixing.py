@@ -8,15 +8,18 @@
 3. A binary tree of multivariate-hypergeometric draws splits the vector of quotas among ``shards`` output shards: each
    node's blocks go left or right in halves, drawn without replacement, source by source. The leaves' quotas add up to
    the source quotas exactly.
-4. Each shard takes the next blocks of its quota from the stream, so shards' blocks are disjoint; a keyed hash gives
-   each piece its place in the shard (``slot``), for a local sort when shards are written.
-
-A document's place in its source's stream is found in two tiers: sources are dealt into hash buckets of about
-``bucket_rows`` rows, running sums are taken in a bucket, and bucket totals (one row a bucket) are summed before it.
-So a source with a third of all rows is spread over as many tasks as it has buckets. One row a source, with an array of
-shard bounds, is joined back: by broadcast if its size, which is counted first, is below ``BROADCAST_BYTES``, else by a
-shuffled join. The tree is computed in one row that holds the array of quotas, so the number of sources is meant to be
-in the thousands; they are sources, not documents.
+4. Each shard takes the next blocks of its quota from the stream, so shards' blocks are disjoint.
+5. Shards are shuffled locally: each piece has a ``slot``, a keyed hash, and a shard's rows stand in the order of their
+   slots. A shard is written by ``parts`` tasks, each of which sorts a range of slots, so it may be of any size.
+
+A document's place in its source's stream is found in two tiers: a source's rows are dealt into hash buckets, about as many
+as each has rows, running sums are taken in a bucket, and bucket totals (one row a bucket) are summed before it. So a source
+with a third of all rows is spread over many tasks, and neither tier holds more than about the square root of its rows. The
+hash covers the id and the text (or what stands for it), so an id that is repeated, or null, with different texts is spread
+too; rows that are repeated whole share a bucket. One row a source, with an array of shard bounds, is joined back: by
+broadcast if its size, which is counted first, is below ``BROADCAST_BYTES``, else by a shuffled join. The tree is
+computed in one row that holds the array of quotas, so the number of sources is meant to be in the thousands; they are
+sources, not documents.
 
 Defined results: null text has size 0; the null source is a source, ordered last; ties (equal hash) are ordered by id,
 then size; repeated rows are documents of their own; an empty table gives no rows; sources of size 0 have target 0.
@@ -28,9 +31,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from conceptlake.session import cut
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, BLANKS = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
 WEIGHTS = (5, 2, 1)
 BROADCAST_BYTES = 8 << 20
+#: Words of a shard that one task sorts and writes, some 100 MB.
+PART_WORDS = 1 << 24
 
 
 def n_words(text: Column) -> Column:
@@ -120,7 +125,7 @@ def split_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return nodes
 
 
-def mix_plan(sizes: DataFrame, *, shards: int, block_words: int, bucket_rows: int, share: float, epochs: int, seed: int) -> DataFrame:
+def mix_plan(sizes: DataFrame, *, shards: int, block_words: int, share: float, epochs: int, seed: int) -> DataFrame:
     """One row a source: key, sid, source_size, target, take (words), buckets, bounds (shards + 1 stream positions)."""
     levels = max(0, shards - 1).bit_length()
     sources = sizes.groupBy(F.col("__source").alias("key")).agg(F.sum("__size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
@@ -131,34 +136,41 @@ def mix_plan(sizes: DataFrame, *, shards: int, block_words: int, bucket_rows: in
     in_order = Window.partitionBy("i").orderBy("node")
     ends = leaves.withColumn("end", F.sum("n").over(in_order)).groupBy((F.col("i") + 1).alias("sid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "end"))), lambda x: x["end"]).alias("ends"))
     bounds = F.transform("ends", lambda x: F.least(x * block_words, F.col("take")))
-    return cut(sources.join(ends, "sid").select("*", bounds.alias("bounds"), F.greatest(F.ceil(F.col("n_docs") / bucket_rows), F.lit(1)).cast("long").alias("buckets")).drop("ends"))
+    return cut(sources.join(ends, "sid").select("*", bounds.alias("bounds"), F.ceil(F.sqrt("n_docs")).cast("long").alias("buckets")).drop("ends"))
+
+
+def sized(docs: DataFrame, id_col: str, source_col: str, size: Column, mark: Column, seed: int) -> DataFrame:
+    """Rows (in a struct) with id, source, size and the hash that places them."""
+    return docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size.alias("__size"), F.xxhash64(F.lit(seed), F.col(id_col), mark).alias("__h"))
 
 
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, *,
-    text_col: str = "text", shards: int = 32, block_words: int = 4096, bucket_rows: int = 512, share: float = 1.5, epochs: int = 2, seed: int = 42,
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, *, text_col: str = "text", mark: Column | None = None,
+    shards: int = 32, block_words: int = 4096, share: float = 1.5, epochs: int = 2, seed: int = 42, plan: DataFrame | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` (in a struct ``row``) with their ``mix``: struct<source_size, target, size, pieces>.
 
     ``pieces`` is an array of struct<epoch, shard, word_from, word_to, slot>: the words [word_from, word_to) of the
     document that each shard takes, by epoch and shard; empty if none are taken. Pass ``size`` where the number of
-    words is a column already. Reruns agree: nothing depends on partitioning.
+    words is a column already, and ``mark``, a hash of the text, with it. Reruns agree: nothing depends on partitioning.
+    ``plan`` is ``mix_plan`` of these rows, if it has been made.
     """
     size = n_words(F.col(text_col)) if size is None else size
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size.alias("__size"))
-    plan = mix_plan(rows.select("__source", "__size"), shards=shards, block_words=block_words, bucket_rows=bucket_rows, share=share, epochs=epochs, seed=seed)
+    mark = F.xxhash64(F.col(text_col)) if mark is None else mark
+    rows = sized(docs, id_col, source_col, size, mark, seed)
+    if plan is None:
+        plan = mix_plan(rows.select("__source", "__size"), shards=shards, block_words=block_words, share=share, epochs=epochs, seed=seed)
     small = plan.count() * (shards + 16) * 8 <= BROADCAST_BYTES
-    dealt = rows.withColumn("__h", F.xxhash64(F.lit(seed), F.col("__id")))
 
     def placed(df: DataFrame, *cols: str) -> DataFrame:
         side = plan.select("key", "sid", "buckets", *cols)
         joined = df.join(F.broadcast(side) if small else side, df["__source"].eqNullSafe(side["key"]))
         return joined.withColumn("__b", F.pmod(F.shiftrightunsigned("__h", 20), F.col("buckets")))
 
-    totals = placed(dealt.select("__source", "__h", "__size")).groupBy("sid", "__b").agg(F.sum("__size").alias("__t"))
+    totals = placed(rows.select("__source", "__h", "__size")).groupBy("sid", "__b").agg(F.sum("__size").alias("__t"))
     base = totals.withColumn("__base", F.sum("__t").over(Window.partitionBy("sid").orderBy("__b")) - F.col("__t")).drop("__t")
     in_bucket = Window.partitionBy("sid", "__b").orderBy("__h", "__id", "__size").rowsBetween(Window.unboundedPreceding, 0)
-    out = placed(dealt, "source_size", "target", "take", "bounds").withColumn("__off", F.sum("__size").over(in_bucket) - F.col("__size")).join(base, ["sid", "__b"])
+    out = placed(rows, "source_size", "target", "take", "bounds").withColumn("__off", F.sum("__size").over(in_bucket) - F.col("__size")).join(base, ["sid", "__b"])
     start = F.col("__base") + F.col("__off")
 
     def pieces_of(epoch: int) -> Column:
@@ -184,22 +196,52 @@ def mix(
     return out.select("row", F.struct(F.col("source_size"), F.col("target"), F.col("__size").alias("size"), pieces.alias("pieces")).alias("mix"))
 
 
-def mixed_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
-    """The mix as documents: a row for each piece, with the columns of ``docs``.
+def pieces_of_text(text: Column, low: Column, high: Column, size: Column) -> Column:
+    """The words [low, high) of a text of ``size`` words as they stand: what is behind a word up to the next goes with it,
+    what is before the first word goes with that. So a text's pieces put together are the text."""
+    words = F.regexp_extract_all(text, F.lit(WORD + BLANKS), F.lit(0))
+    part = F.array_join(F.slice(words, (low + 1).cast("int"), (high - low).cast("int")), "")
+    head = F.when(low == 0, F.regexp_extract(text, "^" + BLANKS, 0)).otherwise("")
+    return F.when((low == 0) & (high == size), text).otherwise(F.concat(head, part))
+
+
+def ordered(pieces: DataFrame, shards: int, parts: int, *ties: str) -> DataFrame:
+    """Rows with ``shard`` and ``slot``, each shard's in the order of its slots: partition shard * parts + k has the k-th of
+    ``parts`` equal ranges of slots."""
+    upper = F.floor((F.shiftrightunsigned("slot", 11) * F.lit(2.0**-53)) * parts).cast("int")
+    # Slots are signed; their order as unsigned numbers is that of the ranges.
+    order = F.col("slot").bitwiseXOR(F.lit(-(2**63)))
+    placed = pieces.withColumn("__at", (F.col("shard") * parts + F.least(upper, F.lit(parts - 1))).cast("int")).withColumn("__o", order)
+    # A partition has one shard; it is named first because a writer that splits by it would sort anew otherwise.
+    return placed.repartitionById(shards * parts, F.col("__at")).sortWithinPartitions("shard", "__o", *ties).drop("__at", "__o")
 
-    A whole document keeps its text as it is; a part has its words joined by single spaces, and ``length_col``, if
-    there, its length.
+
+def shuffled(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *, text_col: str = "text", length_col: str = "n_chars", shards: int = 32, block_words: int = 4096,
+    share: float = 1.5, epochs: int = 2, seed: int = 42, part_words: int = PART_WORDS,
+) -> DataFrame:
+    """The mix as rows: the columns of ``docs`` in a struct ``row``, with epoch, shard, word_from, word_to and slot, shard
+    after shard and each shuffled, by as many tasks as have ``part_words`` words each.
+
+    A piece's text is cut from the document's as it stands; ``length_col``, if there, is its length.
     """
-    out = mix(docs, text_col=text_col, **options).select("row", "mix.size", F.explode("mix.pieces").alias("p"))
-    text = F.col("row")[text_col]
-    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), (F.col("p.word_from") + 1).cast("int"), (F.col("p.word_to") - F.col("p.word_from")).cast("int")), " ")
+    plan = mix_plan(docs.select(F.col(source_col).alias("__source"), n_words(F.col(text_col)).alias("__size")), shards=shards, block_words=block_words, share=share, epochs=epochs, seed=seed)
+    leaves = 1 << max(0, shards - 1).bit_length()
+    parts = max(1, -(-(plan.agg(F.sum("take")).first()[0] or 0) // (leaves * part_words)))
+    out = mix(docs, id_col, source_col, text_col=text_col, shards=shards, block_words=block_words, share=share, epochs=epochs, seed=seed, plan=plan).select("row", "mix.size", F.explode("mix.pieces").alias("p"))
     whole = (F.col("p.word_from") == 0) & (F.col("p.word_to") == F.col("size"))
-    out = out.select("row", "p", whole.alias("whole"), F.when(whole, text).otherwise(part).alias("t"))
-    cols = [F.col("t").alias(c) if c == text_col else F.when(F.col("whole"), F.col("row")[c]).otherwise(F.length("t").cast(docs.schema[c].dataType)).alias(c) if c == length_col else F.col("row")[c].alias(c) for c in docs.columns]
-    return out.select(*cols)
+    text = pieces_of_text(F.col("row")[text_col], F.col("p.word_from"), F.col("p.word_to"), F.col("size"))
+    out = out.select("row", "p.*", whole.alias("__whole"), text.alias("__t"))
+    cols = [F.col("__t").alias(c) if c == text_col else F.when(F.col("__whole"), F.col("row")[c]).otherwise(F.length("__t").cast(docs.schema[c].dataType)).alias(c) if c == length_col else F.col("row")[c].alias(c) for c in docs.columns]
+    rows = out.select(F.struct(*cols).alias("row"), "epoch", "shard", "word_from", "word_to", "slot")
+    return ordered(rows.withColumn("__i", F.col("row")[id_col]), leaves, parts, "__i", "epoch", "word_from").drop("__i")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix in training order, with the columns of ``docs`` alone: shard after shard, each shuffled."""
+    return shuffled(docs, **options).select("row.*")
 
 
-def write_mix(mixed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write the training order: one folder a shard, its pieces shuffled locally by their slots."""
-    rows = mixed.select(F.col("row")[id_col].alias(id_col), F.explode("mix.pieces").alias("p")).select(id_col, "p.*")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot", id_col, "epoch").write.partitionBy("shard").parquet(path)
+def write_mix(docs: DataFrame, path: str, **options) -> None:
+    """Write the training order: one folder a shard, with its pieces (row, epoch, word_from, word_to, slot) in order."""
+    shuffled(docs, **options).write.partitionBy("shard").parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from conceptlake.llm import fingerprints, gif, language, mixing, quality, secrets, sentencepieces, simhash, tokencounts, urlfilter
+from conceptlake.llm import fingerprints, gif, language, mixing, quality, secrets, sentencepieces, simhash, stages, tokencounts, urlfilter
 from conceptlake.session import cut
 
 
@@ -17,11 +17,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = cut(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
-    mixed = mixing.mix(sizes, size=F.col("size"))
-    pieces = F.col("mix.pieces")
-    taken = F.aggregate(pieces, F.lit(0).cast("long"), lambda n, p: n + p["word_to"] - p["word_from"])
-    return mixed.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", taken.alias("taken"), F.size(pieces).alias("n_pieces"), F.array_min(F.transform(pieces, lambda p: p["shard"])).alias("first_shard"))
+    docs = table(spark, sf_dir, "documents")
+    sizes = cut(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("mark")))
+    mixed = mixing.mix(sizes, size=F.col("size"), mark=F.col("mark"))
+    taken = F.aggregate("mix.pieces", F.lit(0).cast("long"), lambda n, p: n + p["word_to"] - p["word_from"])
+    return mixed.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", taken.alias("taken"), "mix.pieces")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.media_columns(table(spark, sf_dir, "documents")).drop("frames")
+    return gif.media_columns(table(spark, sf_dir, "documents"))
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_fingerprints, op4_gif, op5_urls, op6_sentencepiece, op7_simhash, op8_tokens, op9_language, op10_quality, pipeline)}

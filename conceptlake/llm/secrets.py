@@ -3,8 +3,9 @@
 Each rule's regex yields a Boolean trigram query (``trigrams.query_of``). Every Arrow batch of documents is one
 index segment: its texts' bytes are cut into trigrams, and those that any query mentions become postings (a bitmap
 of the segment's documents for each trigram). A rule's candidates come from intersecting and uniting postings; the
-regex then verifies candidates on the whole text. Rules without a mandatory trigram scan every document. Segments
-live in one task, so nothing is shuffled, and a lost task is simply run again.
+regex then verifies candidates on the whole text, in time linear in its length. Rules without a mandatory trigram scan
+every document. An index lives as long as its batch: it is built, asked for all rules and dropped, in one task, so nothing
+is shuffled or kept, and a lost task is simply run again.
 
 Defined results: null or empty text has no spans; repeated rows each get their own row; null ids pass through;
 other columns are ignored by ``scan_secrets`` and passed through unchanged by ``redact_secrets``.
@@ -21,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from conceptlake.llm.arrowtext import raw_bytes
+from conceptlake.llm.arrowtext import raw_bytes, slices
 from conceptlake.llm.trigrams import ANY, query_of, trigrams_of
-from conceptlake.session import bounded_batches
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,7 @@ class Rule:
     group: int = 0
     least: int = 0
     sql: str | None = None  #: the SQL twin's pattern, where it isn't ``pattern``
+    scan: str | None = None  #: a pattern whose first group is what ``pattern`` matches, where that takes more than linear time
 
 
 #: A private key is its block up to the END line of the same label, before any other block; if there is none, the lines
@@ -51,9 +52,10 @@ MORE = (
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("cloud", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("pay", r"[rs]k_live_[A-Za-z0-9]+", 0, 24),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    # A run of the class has one head that can begin a match, its first: what follows the run is the same for all.
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, scan=r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)"),
     Rule("pem", r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----" + _KEY, sql=r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("login", r"://[A-Za-z0-9._~-]+:[^ /:@\x09-\x0d]+@", 0, 8, sql=r"://[A-Za-z0-9._~-]{1,64}:[^ /:@\x09-\x0d]{1,128}@"),
+    Rule("login", r"://[A-Za-z0-9._~-]+:[^ /:@\x09-\x0d]+@", 0, 8),
 )
 RULES = BASE + MORE
 
@@ -65,7 +67,9 @@ class Scanner:
         self.rules = rules
         self.queries = [query_of(r.pattern) for r in rules]
         # Dropping matches below a length commutes with demanding it only where a match is a run of one class.
-        self.patterns = [re.compile(f"[0-9a-f]{{{r.least},}}" if r.pattern == "[0-9a-f]+" else r.pattern, re.ASCII) for r in rules]
+        self.patterns = [re.compile(f"[0-9a-f]{{{r.least},}}" if r.pattern == "[0-9a-f]+" else r.scan or r.pattern, re.ASCII) for r in rules]
+        #: The groups that give a rule's span, and the one whose length counts.
+        self.groups = [(1 if r.scan else 0, r.group + 1 if r.scan else r.group) for r in rules]
         grams = sorted(set().union(*(trigrams_of(q) for q in self.queries)))
         self.slot = {g: i + 1 for i, g in enumerate(grams)}
         self.table = np.zeros(1 << 24, np.uint16)
@@ -103,7 +107,8 @@ class Scanner:
             spans = []
             for k, rule in enumerate(self.rules):
                 if text and wanted[k][i]:
-                    spans += [(m.start(), k, m.end()) for m in self.patterns[k].finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+                    whole, part = self.groups[k]
+                    spans += [(m.start(whole), k, m.end(whole)) for m in self.patterns[k].finditer(text) if m.end(part) - m.start(part) >= rule.least]
             found.append(sorted(spans))
         return found
 
@@ -125,13 +130,12 @@ def united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> DataFrame:
     """(id, counts of each of the first ``base`` rules, base_sha256, spans, n_spans), a row for each row of ``df``."""
-    bounded_batches(df.sparkSession)
     kinds = [r.kind for r in rules[:base]]
     schema = T.StructType([df.select(id_col).schema[0], *[T.StructField(f"n_{k}", T.LongType()) for k in kinds], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_spans", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             found = scanner.segment(batch.column(1))
             of_base = [[s for s in spans if s[1] < base] for spans in found]
             counts = [pa.array([sum(s[1] == k for s in spans) for spans in of_base], pa.int64()) for k in range(base)]
@@ -143,13 +147,12 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def redact_secrets(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``df`` with every span (overlapping ones united) replaced by ``mark``; the length column, if there, follows the text."""
-    bounded_batches(df.sparkSession)
     schema, names = df.schema, df.columns
     at, length = names.index(text_col), names.index(length_col) if length_col in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             cols = list(batch.columns)
             texts, found = cols[at].to_pylist(), scanner.segment(cols[at])
             changed = [i for i, spans in enumerate(found) if spans]

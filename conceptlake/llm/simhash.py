@@ -7,63 +7,47 @@ most 4 bits. Each differing bit spoils one of the eight bytes at most, so linked
 
 The index holds distinct fingerprints. A posting list of one (position, byte) has a 256th of all fingerprints, so
 tallying all pairs of all lists is quadratic; postings are read three at a time instead. Of any four positions, three
-are together in one of ``TRIPLES``, 20 triples (Turán's (8, 4, 3) system); so every pair that shares four bytes meets in
+are together in one of ``TRIPLES``, 20 triples (Turan's (8, 4, 3) system); so every pair that shares four bytes meets in
 the intersection of three lists, which holds about one 2^24th of the fingerprints. There the shared bytes of each pair
 are tallied in blocks, pairs reaching 4 are retained and verified by their bits. No pair is emitted: an
 intersection gives each member's link to the least member it is connected with, which keeps all of the linkage.
 
-That is the scheme ``LINKED`` (op7's contract). The scheme ``SIMILAR`` (256 bits of two-word shingles, 64 triples of the 32
-byte positions, at least 6 shared bytes, at most 32 differing bits) finds copies with scattered changes in most cases, and
-neither all pairs of a given shingle similarity nor only those. So ``deduplicated``, which promises a similarity, takes
-its links from ``similar``: candidates by min-hashes, verified by their shingles.
+Intersections are counted first. One of over ``LARGE`` members (a family of texts that share three bytes) is dealt into
+blocks of about that size, and each pair of blocks is a task's work of its own; so no task holds more than two blocks.
 
 Exact copies meet once, when fingerprints are grouped (with map-side pre-aggregation); a group of copies of any size is
 one fingerprint. Components of the links come from ``components``; all steps are tables or shuffles by fingerprint or
 posting key, nothing is collected to the driver.
 
-Defined results: null and empty texts have fingerprint zero, which links like any other; texts with fewer words than a
-shingle are one shingle; repeated rows get the same component; rows whose id is null get a fingerprint and component null
-and are left out of others' components; an empty table gives no rows.
+A fingerprint's distance says little about a similarity as high as 0.8 (such pairs differ in some 10 of 64 bits). So what
+promises one (``similar``, the pipeline's stage) takes this index's links for its first candidates, verifies them by their
+shingles, and finds the others by min-hashes.
+
+Defined results: null and empty texts have fingerprint 0 and link like any other; rows without id have a fingerprint
+and no component; rows that repeat an id are one document; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from xxhash import xxh64_intdigest
 
 from conceptlake.llm.arrowtext import map_text
 from conceptlake.llm.components import components
-from conceptlake.llm.similar import similar_components
 from conceptlake.session import cut
 
-SEED = 42
+SEED, SHINGLE = 42, 4
+#: Linked fingerprints differ in at most so many bits, and share at least so many bytes.
+BITS, LEAST = 4, 4
 #: Positions 0-7 in groups {0,1,2}, {3,4,5}, {6,7}; triples within a group, or two of one and one of the next.
 GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
 TRIPLES = tuple(sorted({tuple(sorted(t)) for i, g in enumerate(GROUPS) for t in [*([g] if len(g) == 3 else []), *[(a, b, c) for a in g for b in g if a < b for c in GROUPS[(i + 1) % 3]]]}))
-#: Of 32 positions: each is in six triples.
-WIDE = tuple((i, (i + a) % 32, (i + b) % 32) for a, b in ((1, 3), (5, 13)) for i in range(32))
-
-
-@dataclass(frozen=True)
-class Scheme:
-    shingle: int  #: words
-    lanes: int  #: of 64 bits each
-    bits: int  #: linked fingerprints differ in at most so many
-    least: int  #: and share at least so many bytes
-    triples: tuple
-
-    @property
-    def columns(self) -> list[str]:
-        return ["fp", *(f"fp{i}" for i in range(1, self.lanes))]
-
-
-LINKED = Scheme(4, 1, 4, 4, TRIPLES)
-SIMILAR = Scheme(2, 4, 32, 6, WIDE)
+#: Members of an intersection that one task compares with one another; and what a list of larger ones may be broadcast with.
+LARGE, BROADCAST_BYTES = 1 << 13, 8 << 20
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -78,34 +62,30 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = 4, lanes: int = 1) -> list[int]:
-    """The SimHash of a text: unsigned numbers of 64 bits. Lanes behind the first mix each shingle's hash anew."""
-    if not text or not text.encode().strip():
-        return [0] * lanes
-    hashes = shingle_hashes(text, shingle)
-    n = len(hashes)
-    out = []
-    for lane in range(lanes):
-        if lane:
-            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            hashes ^= hashes >> np.uint64(29)
-        ones = np.zeros(64, np.int64)
-        for i in range(0, n, 1 << 14):
-            ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0]))
-    return out
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of hashes: bits that are set in over half of them, as an unsigned number."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, keep: list[str], text_col: str = "text", scheme: Scheme = LINKED) -> DataFrame:
-    """``keep`` columns with the fingerprint's lanes (fp, fp1, ...) as signed longs."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text, an unsigned number of 64 bits."""
+    return majority(shingle_hashes(text, shingle)) if text and text.encode().strip() else 0
 
-    def start():
-        def step(texts: list) -> list[tuple]:
-            return [tuple(f - (1 << 64) if f >> 63 else f for f in fingerprint(t, scheme.shingle, scheme.lanes)) for t in texts]
 
-        return step
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
 
-    return map_text(df, keep, [(c, T.LongType()) for c in scheme.columns], start, text_col)
+def fingerprints(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep`` columns with the fingerprint ``fp`` as a signed long."""
+
+    def start():
+        return lambda texts: [(signed(fingerprint(t)),) for t in texts]
+
+    return map_text(df, keep, [("fp", T.LongType())], start, text_col)
 
 
 def settle(own: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -121,14 +101,13 @@ def settle(own: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             own[:] = own[own]
 
 
-def linked(f: np.ndarray, scheme: Scheme = LINKED, block: int = 256) -> np.ndarray:
-    """For the fingerprints of one intersection (a row each): the least member that each is connected with.
+def linked(f: np.ndarray, block: int = 256) -> np.ndarray:
+    """For the fingerprints of one intersection: the least member that each is connected with.
 
     Members are compared in blocks of ``block`` x ``block``, so memory doesn't grow with the number of pairs. Pairs that are
     connected already are passed over: in a large group of copies almost all are, once a few members have been compared
     with all others.
     """
-    f = f.reshape(len(f), -1)
     own = np.arange(len(f))
     byte = np.frombuffer(np.ascontiguousarray(f).tobytes(), np.uint8).reshape(len(f), -1)
 
@@ -136,11 +115,11 @@ def linked(f: np.ndarray, scheme: Scheme = LINKED, block: int = 256) -> np.ndarr
         for k in range(0, len(cols), block):
             c = cols[k : k + block]
             shared = np.zeros((len(rows), len(c)), np.uint8)
-            for p in range(byte.shape[1]):
+            for p in range(8):
                 shared += byte[rows, p][:, None] == byte[c, p]
-            i, j = np.nonzero(shared >= scheme.least)
+            i, j = np.nonzero(shared >= LEAST)
             i, j = rows[i], c[j]
-            near = np.bitwise_count(f[i] ^ f[j]).sum(1) <= scheme.bits
+            near = np.bitwise_count(f[i] ^ f[j]) <= BITS
             settle(own, i[near], j[near])
 
     everyone = np.arange(len(f))
@@ -158,39 +137,56 @@ def linked(f: np.ndarray, scheme: Scheme = LINKED, block: int = 256) -> np.ndarr
     return own
 
 
-def links(index: DataFrame, scheme: Scheme = LINKED) -> DataFrame:
-    """Edges (a, b) that connect what is linked among distinct fingerprints ``index`` (lanes, rep)."""
+def dealt(postings: DataFrame, large: int) -> DataFrame:
+    """``postings`` (key, rep, fp) with ``part``: members of a key with the same part are compared with one another.
+
+    A key of at most ``large`` members is one part. One with more has its members in blocks by a hash, and a part for each
+    pair of blocks, in which the members of both stand; so every two members meet in one part at least.
+    """
+    many = cut(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("key", F.ceil(F.col("n") / large).cast("long").alias("blocks")))
+    side = F.broadcast(many) if many.count() * 64 <= BROADCAST_BYTES else many
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
+    parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
+    return postings.join(side, "key", "left").select("key", F.explode(parts).alias("part"), "rep", "fp")
+
+
+def links(index: DataFrame, large: int = LARGE) -> DataFrame:
+    """Edges (a, b) that connect what is linked among distinct fingerprints ``index`` (fp, rep)."""
     spark = index.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    byte = [F.shiftrightunsigned(c, 8 * p).bitwiseAND(F.lit(255)) for c in scheme.columns for p in range(8)]
-    keys = F.array(*[(F.lit(k << 24) + F.shiftleft(byte[a], 16) + F.shiftleft(byte[b], 8) + byte[c]).cast("long") for k, (a, b, c) in enumerate(scheme.triples)])
-    postings = index.select(F.explode(keys).alias("key"), "rep", *scheme.columns).repartition(parts, "key").sortWithinPartitions("key", "rep")
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
+    keys = F.array(*[(F.lit(k << 24) + F.shiftleft(byte[a], 16) + F.shiftleft(byte[b], 8) + byte[c]).cast("long") for k, (a, b, c) in enumerate(TRIPLES)])
+    postings = dealt(index.select(F.explode(keys).alias("key"), "rep", "fp"), large)
+    postings = postings.repartition(slots, "key", "part").sortWithinPartitions("key", "part", "rep")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    width = scheme.lanes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64),) * (2 + width)
+        held = (np.zeros(0, np.int64),) * 4
         for batch in batches:
-            part = tuple(np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True))
-            # The last key may go on in the next batch.
-            last = int(np.searchsorted(part[0], part[0][-1], "left")) if len(part[0]) else 0
-            held = tuple(x[last:] for x in part)
-            yield from answers(*(x[:last] for x in part))
+            key, part, rep, fp = (np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True))
+            if not len(key):
+                continue
+            # The last part may go on in the next batch.
+            before = np.flatnonzero((key != key[-1]) | (part != part[-1]))
+            last = int(before[-1]) + 1 if len(before) else 0
+            held = tuple(x[last:] for x in (key, part, rep, fp))
+            yield from answers(*(x[:last] for x in (key, part, rep, fp)))
         yield from answers(*held)
 
-    def answers(key: np.ndarray, rep: np.ndarray, *lanes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def answers(key: np.ndarray, part: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(key) < 2:
             return
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
         size = np.diff(np.append(start, len(key)))
-        f = np.stack(lanes, 1).view(np.uint64)
+        f = fp.view(np.uint64)
         two = start[size == 2]
         x = f[two] ^ f[two + 1]
-        enough = (x.view(np.uint8) == 0).sum(1) >= scheme.least
-        close = two[enough][np.bitwise_count(x[enough]).sum(1) <= scheme.bits]
+        enough = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1) >= LEAST
+        close = two[enough][np.bitwise_count(x[enough]) <= BITS]
         a, b = [rep[close]], [rep[close + 1]]
         for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            own = linked(f[s : s + n], scheme)
+            own = linked(f[s : s + n])
             i = np.flatnonzero(own != np.arange(n))
             a.append(rep[s + i])
             b.append(rep[s + own[i]])
@@ -201,23 +197,11 @@ def links(index: DataFrame, scheme: Scheme = LINKED) -> DataFrame:
     return postings.mapInArrow(run, schema)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = LINKED) -> DataFrame:
-    """(id, fp, component_id), a row for each row of ``df``; fp is the fingerprint's first lane."""
-    lanes = scheme.columns
-    marks = cut(fingerprints(df, [id_col], text_col, scheme).withColumnRenamed(id_col, "id"))
-    index = cut(marks.where("id is not null").groupBy(*lanes).agg(F.min(F.col("id").cast("long")).alias("rep")))
-    found = components(links(index, scheme))
-    of = index.join(found, index["rep"] == found["node"], "left").select(*lanes, F.coalesce("component", "rep").alias("component_id"))
-    joined = marks.join(of, lanes, "left")
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id), a row for each row of ``df``."""
+    marks = cut(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"]))
+    index = cut(marks.where("id is not null").groupBy("fp").agg(F.min(F.col("id").cast("long")).alias("rep")))
+    found = components(links(index))
+    of = index.join(found, index["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    joined = marks.join(of, "fp", "left")
     return joined.select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay: of each component of ``similar``'s links the document with the smallest id.
-
-    Rows that repeat that id are one document, of which the first by text stays. Rows without id stay as they are.
-    """
-    firsts = similar_components(df, id_col, text_col).where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("__first")).distinct()
-    stay = df.join(firsts, df[id_col] == firsts["__first"], "left_semi")
-    one = stay.withColumn("__row", F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first()))).where("__row = 1").drop("__row")
-    return one.unionByName(df.where(F.col(id_col).isNull()))

@@ -1,15 +1,22 @@
-"""Pairs of documents whose five-word shingles are alike by 0.8 or more, found by min-hashes and verified exactly.
-
-Texts are sets of distinct five-word shingles (words as in ``simhash``); the similarity is Jaccard's. A set's keys are
-``BANDS`` hashes of ``ROWS`` min-hashes each. Two sets of similarity j have a given key in common with probability
-j^6, so a pair of similarity 0.8 shares none of 48 keys with (1 - 0.8^6)^48 < 5e-7, and this does not depend on how the
-changes lie in the text. (SimHash has no such bound at this distance: such pairs differ in some 39 of 256 bits.)
-
-Sets that are equal are one node, the least id. Nodes that share a key meet in its bucket. Pairs are taken from buckets in
-rounds: each member with the bucket's least; members with one chosen by the key's hash, if not connected with it yet; and
-at last all pairs of a bucket that are still in different components. The last round leaves nothing out; the first two only
-spare it what is connected already, so that a large group of copies is not paired with itself. Each pair is verified by its
-sets, which are made again from the texts of the documents in question; a link is a pair with 0.8 or more in common.
+"""Near-dedup at a similarity: SimHash candidates first, then all others by min-hashes, each verified exactly.
+
+Texts are sets of distinct five-word shingles (words as in ``simhash``); the similarity is Jaccard's, and two texts are
+linked if it is 0.8 or more. Texts with equal sets are one node. Candidates are taken in rounds; each pair is verified by its
+sets, which are made again from the texts in question, and only verified links go into components:
+
+1. SimHash: the nodes' fingerprints (of the same shingles) go through ``simhash``'s byte-position index with its count
+   filter. That finds most copies with few changes at 20 postings a fingerprint.
+2. Pairs at 0.8 differ in some 10 of 64 bits, where no byte index has a guarantee that is worth its postings. So a set also
+   has ``BANDS`` keys of ``ROWS`` min-hashes each. Two sets of similarity j have a given key in common with probability
+   j^6, so a pair of similarity 0.8 shares none of 48 keys with (1 - 0.8^6)^48 < 5e-7, and this does not depend on how the
+   changes lie in the text. Nodes that share a key meet in its bucket; there, each that isn't connected yet is paired with
+   the bucket's least member, then with one chosen by the key's hash, and at last all pairs of a bucket that are still in
+   different components. The last round leaves nothing out; the others only spare it what is connected already, so that
+   a large group of copies is not paired with itself.
+
+Defined results: null and empty texts are one set, the empty shingle. A document is an id with a text: rows that repeat both
+are one document, rows that repeat an id with other texts are documents of their own. Rows without id are left alone. Ties
+go to the smallest id, then to the smallest hash of the text.
 """
 
 from __future__ import annotations
@@ -19,9 +26,10 @@ import hashlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from conceptlake.llm import simhash
 from conceptlake.llm.arrowtext import map_text
 from conceptlake.llm.components import components, loose
-from conceptlake.session import cut
+from conceptlake.session import cut, drop
 
 SHINGLE, ROWS, BANDS = 5, 6, 48
 #: Links have so many fifths of their shingles in common.
@@ -33,9 +41,7 @@ BAND = _RNG.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
 def shingle_set(text: str | None) -> np.ndarray:
     """The distinct shingles' hashes, in order; an empty text has one, the empty shingle."""
-    from conceptlake.llm.simhash import shingle_hashes
-
-    return np.unique(shingle_hashes(text, SHINGLE))
+    return np.unique(simhash.shingle_hashes(text, SHINGLE))
 
 
 def keys_of(hashes: np.ndarray) -> np.ndarray:
@@ -51,17 +57,18 @@ def keys_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def marks_of(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """``keep`` columns with the set's digest (d1, d2), its size n and its keys."""
+    """``keep`` columns with the set's digest (d1, d2), its size n, its keys and its SimHash fp."""
 
     def start():
         def mark(text: str | None) -> tuple:
             hashes = shingle_set(text)
             d = np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), np.int64)
-            return int(d[0]), int(d[1]), len(hashes), keys_of(hashes).view(np.int64)
+            return int(d[0]), int(d[1]), len(hashes), keys_of(hashes).view(np.int64), simhash.signed(simhash.majority(hashes))
 
         return lambda texts: [mark(t) for t in texts]
 
-    return map_text(df, keep, [("d1", T.LongType()), ("d2", T.LongType()), ("n", T.LongType()), ("keys", T.ArrayType(T.LongType()))], start, text_col)
+    long = T.LongType()
+    return map_text(df, keep, [("d1", long), ("d2", long), ("n", long), ("keys", T.ArrayType(long)), ("fp", long)], start, text_col)
 
 
 def fits(n: Column, m: Column) -> Column:
@@ -73,50 +80,101 @@ def pairs_of(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return df.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
 
 
-def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingles are alike enough."""
-
-    def start():
-        return lambda texts: [(shingle_set(t).view(np.int64),) for t in texts]
-
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi").distinct()
-    sets = cut(map_text(texts, ["id"], [("s", T.ArrayType(T.LongType()))], start))
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").select("a", loose("b"), "sa")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = two.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return cut(both.where(F.col("both") * 5 >= (F.col("n") - F.col("both")) * FIFTHS).select("a", "b").distinct())
+class Documents:
+    """The documents of ``df`` (id, text), their sets as nodes, and the links found so far."""
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str) -> None:
+        self.rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+        self.marks = cut(marks_of(self.rows, ["id", "mark"], "text"))
+        sets = self.marks.groupBy("d1", "d2").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
+        # Numbers that a table holds, so they are the same whenever it is read.
+        self.index = cut(sets.withColumn("node", F.monotonically_increasing_id()))
+        self.tested: DataFrame | None = None
+        self.links: DataFrame | None = None
+        self.found: DataFrame | None = None
+
+    def test(self, pairs: DataFrame) -> None:
+        """Verify those of ``pairs`` (a, b) that haven't been, and connect what they link."""
+        new = cut(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"))
+        good = self.verified(new)
+        self.tested = new if self.tested is None else self.tested.unionByName(new)
+        self.links = good if self.links is None else self.links.unionByName(good)
+        was, self.found = self.found, cut(components(self.links))
+        if was is not None:
+            drop(was)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` whose shingles are alike enough."""
+
+        def start():
+            return lambda texts: [(shingle_set(t).view(np.int64),) for t in texts]
+
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        firsts = self.index.join(wanted, "node", "left_semi").select("node", "first.id", "first.mark")
+        texts = self.rows.join(firsts, ["id", "mark"]).select("node", "text").dropDuplicates(["node"])
+        sets = cut(map_text(texts, ["node"], [("s", T.ArrayType(T.LongType()))], start))
+        one = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").select("a", loose("b"), "sa")
+        two = one.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        both = two.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+        good = cut(both.where(F.col("both") * 5 >= (F.col("n") - F.col("both")) * FIFTHS).select("a", "b").distinct())
+        drop(sets)
+        return good
+
+    def near_fingerprints(self) -> DataFrame:
+        """Pairs of nodes that ``simhash`` links or that have one fingerprint: each with the least it leads to."""
+        prints = cut(self.index.groupBy("fp").agg(F.min("node").alias("rep")))
+        same = self.index.select("node", "fp").join(prints, "fp").select(F.col("node").alias("x"), F.col("rep").alias("y"))
+        near = simhash.links(prints).select(F.col("a").alias("x"), F.col("b").alias("y"))
+        return pairs_of(same.unionByName(near), F.col("x"), F.col("y"))
+
+    def link(self) -> None:
+        bucket = Window.partitionBy("key")
+        self.test(self.near_fingerprints())
+        postings = self.index.select(F.explode("keys").alias("key"), "node", "n").withColumn("members", F.count(F.lit(1)).over(bucket))
+        shared = cut(postings.where("members > 1").drop("members"))
+
+        def open_buckets() -> DataFrame:
+            """The buckets with members of several components, with each member's component."""
+            with_component = shared.join(self.found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+            return cut(with_component.withColumn("several", F.min("c").over(bucket) < F.max("c").over(bucket)).where("several").drop("several"))
+
+        for first in (F.struct("node", "n", "c"), F.struct(F.xxhash64("key", "node").alias("h"), "node", "n", "c")):
+            rest = open_buckets()
+            near = rest.withColumn("p", F.min(first).over(bucket)).where("c <> p.c").where(fits(F.col("n"), F.col("p.n")))
+            self.test(pairs_of(near, F.col("node"), F.col("p.node")))
+            drop(rest)
+        rest = open_buckets()
+        other = rest.select("key", F.col("node").alias("r"), F.col("n").alias("m"), F.col("c").alias("o"))
+        self.test(pairs_of(rest.join(other, "key").where("node < r AND c <> o").where(fits(F.col("n"), F.col("m"))), F.col("node"), F.col("r")))
+        drop(rest)
+
+    def components(self) -> DataFrame:
+        """(node, first, component): component is the least node reachable."""
+        return self.index.join(self.found, "node", "left").select("node", "d1", "d2", "first", F.coalesce("component", "node").alias("component"))
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) for each row of ``df`` that has an id: the smallest id that links lead to."""
-    marks = cut(marks_of(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), ["id"], "text"))
-    index = cut(marks.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    bucket = Window.partitionBy("key")
-    postings = index.select(F.explode("keys").alias("key"), "rep", "n").withColumn("members", F.count(F.lit(1)).over(bucket))
-    shared = cut(postings.where("members > 1").drop("members"))
-
-    least = shared.withColumn("p", F.min(F.struct("rep", "n")).over(bucket)).where(fits(F.col("n"), F.col("p.n")))
-    tested = cut(pairs_of(least, F.col("rep"), F.col("p.rep")))
-    links = verified(tested, df, id_col, text_col)
-    found = cut(components(links))
-
-    def placed() -> DataFrame:
-        """The buckets with members of several components, with each member's component."""
-        with_component = shared.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-        return with_component.withColumn("several", F.min("c").over(bucket) < F.max("c").over(bucket)).where("several").drop("several")
-
-    for last in (False, True):
-        rest = cut(placed())
-        if last:
-            other = rest.select("key", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("c").alias("o"))
-            open_pairs = pairs_of(rest.join(other, "key").where("rep < r AND c <> o").where(fits(F.col("n"), F.col("m"))), F.col("rep"), F.col("r"))
-        else:
-            chosen = rest.withColumn("p", F.min(F.struct(F.xxhash64("key", "rep").alias("h"), "rep", "n", "c")).over(bucket)).where("c <> p.c").where(fits(F.col("n"), F.col("p.n")))
-            open_pairs = pairs_of(chosen, F.col("rep"), F.col("p.rep"))
-        new = cut(open_pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(new)
-        links = links.unionByName(verified(new, df, id_col, text_col))
-        found = cut(components(links))
-    of = index.join(found, index["rep"] == found["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    return marks.select("id", "d1", "d2").join(of, ["d1", "d2"]).select(F.col("id").alias(id_col), "component_id")
+    """(id, mark, component_id) for each row of ``df`` that has an id: the smallest id that links lead to; mark is the text's hash."""
+    docs = Documents(df, id_col, text_col)
+    docs.link()
+    of = docs.components()
+    least = of.groupBy("component").agg(F.min("first.id").alias("component_id"))
+    named = of.join(least, "component").select("d1", "d2", "component_id")
+    return docs.marks.select("id", "mark", "d1", "d2").join(named, ["d1", "d2"]).select(F.col("id").alias(id_col), "mark", "component_id")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay: the first document of each component, once, and the rows without id."""
+    docs = Documents(df, id_col, text_col)
+    docs.link()
+    first = docs.components().groupBy("component").agg(F.min("first").alias("f")).select("f.id", "f.mark")
+    again = docs.marks.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "mark")
+    once, more = first.join(again, ["id", "mark"], "left_anti"), first.join(again, ["id", "mark"], "left_semi")
+
+    def of(names: DataFrame) -> DataFrame:
+        return df.join(names, (df[id_col] == names["id"]) & (F.xxhash64(df[text_col]) == names["mark"]), "left_semi")
+
+    # Of rows that repeat a document, one stays, the same in every run; they are put together before they are dealt.
+    hashed = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])
+    rows = of(more).groupBy(F.struct(F.col(id_col), F.xxhash64(text_col))).agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), hashed).alias("__row"))
+    return of(once).unionByName(rows.select("__row.*")).unionByName(df.where(F.col(id_col).isNull()))

@@ -3,12 +3,18 @@
 Host and path are cut from the url with SQL functions; a rule (host, path) fits its host and all subdomains where the
 url's path starts with the rule's path, and the longest fitting rule wins. Urls without a rule are judged by boosted
 regression trees (logistic loss) on lexical features alone: lengths, depth, digit ratio, entropy, parameter counts and
-statistics of the suffix (how often urls with that last host label are labelled as blocked, smoothed).
+statistics of the suffix and of the last label (how often labelled urls with it are to be blocked, smoothed).
+
+A suffix is what names are registered under: the last label, or the last two where the last has two letters and the one
+before it is a registry's (``REGISTRIES``). Training rows get their suffix statistics from the other folds of ``FOLDS``, so
+the trees don't see a row's own label in them; a fold holds whole hosts. Urls that are judged get those of all rows.
 
 Labelled urls train the trees. ``filter_urls`` takes them as a table (url, block); without one, the urls that a rule
-decides are the labels. Training uses at most ``sample`` labelled urls, those with the smallest keyed hashes, so that
-the choice doesn't depend on partitioning; every url is judged. The model (some hundred numbers) goes to the tasks with
-the function. If the labels have one class or none, the verdict for urls without a rule is that class, or allow.
+decides are the labels, so the trees carry what the rules say over to urls that look alike. Training uses at most
+``sample`` distinct (url, block), those with the smallest keyed hashes, weighted by how often each occurs (up to
+``WEIGHT``), so that neither partitioning nor repetition decides what is chosen; every url is judged. The model (some
+hundred numbers, and a suffix table of at most two entries a training row) goes to the tasks with the function. If the
+labels have one class or none, the verdict for urls without a rule is that class, or allow.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and is judged by the model like
 any other; repeated rows are judged alike; other columns are ignored.
@@ -18,18 +24,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from conceptlake.llm.arrowtext import slices
 from conceptlake.llm.sampling import smallest_hashes
-from conceptlake.session import bounded_batches
 
 #: (verdict, rule): host, then a slash, then the path's beginning.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-SAMPLE = 20_000
-FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "host_entropy", "parameters", "query_length", "hyphens", "https", "suffix_rate", "suffix_count")
+SAMPLE, FOLDS, WEIGHT = 20_000, 5, 100
+#: Second-level labels that registries use below country codes.
+REGISTRIES = frozenset({"ac", "co", "com", "edu", "gov", "net", "or", "org"})
+FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "host_entropy", "parameters", "query_length", "hyphens", "https", "suffix_rate", "suffix_count", "last_rate", "last_count")
 
 
 def host_of(url: Column) -> Column:
@@ -62,11 +71,33 @@ def entropy(text: str) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def lexical(url: str | None, host: str, path: str, suffixes: dict[str, tuple[float, float]], base: float) -> list[float]:
+def suffixes_of(host: str) -> tuple[str, str]:
+    """What the host's name is registered under, and its last label."""
+    labels = host.split(".")
+    two = len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in REGISTRIES
+    return ".".join(labels[-2:]) if two else "." + labels[-1], labels[-1]
+
+
+#: Weight of all rows and of those to block, by suffix and by last label.
+Tally = dict[str, tuple[float, float]]
+
+
+def tally(rows: list[tuple[str, int, float]]) -> Tally:
+    """From (host, block, weight) rows."""
+    out: Tally = {}
+    for host, block, weight in rows:
+        for s in suffixes_of(host):
+            n, b = out.get(s, (0.0, 0.0))
+            out[s] = (n + weight, b + weight * block)
+    return out
+
+
+def lexical(url: str | None, host: str, path: str, known: Tally, base: float) -> list[float]:
     url = url or ""
     query = url.partition("?")[2].partition("#")[0]
-    rate, count = suffixes.get(host.rpartition(".")[2], (base, 0.0))
-    return [len(url), len(host), len(path), sum(bool(x) for x in path.split("/")), host.count(".") + bool(host), sum(c.isdigit() for c in url) / max(1, len(url)), entropy(url), entropy(host), sum(bool(x) for x in query.split("&")), len(query), host.count("-"), float(url[:8].lower() == "https://"), rate, count]
+    seen = [known.get(s, (0.0, 0.0)) for s in suffixes_of(host)]
+    rates = [x for n, b in seen for x in ((b + 5 * base) / (n + 5), float(np.log1p(n)))]
+    return [len(url), len(host), len(path), sum(bool(x) for x in path.split("/")), host.count(".") + bool(host), sum(c.isdigit() for c in url) / max(1, len(url)), entropy(url), entropy(host), sum(bool(x) for x in query.split("&")), len(query), host.count("-"), float(url[:8].lower() == "https://"), *rates]
 
 
 @dataclass
@@ -119,45 +150,43 @@ class Tree:
 class Model:
     base: float
     trees: list[Tree]
-    suffixes: dict[str, tuple[float, float]]
+    known: Tally
     rate: float  #: share of blocked labels, for suffixes never seen
 
     def score(self, rows: list[tuple[str | None, str, str]]) -> np.ndarray:
         """The chance that a url is one to block."""
         if not rows:
             return np.zeros(0)
-        x = np.array([lexical(*r, self.suffixes, self.rate) for r in rows])
+        x = np.array([lexical(*r, self.known, self.rate) for r in rows])
         return 1 / (1 + np.exp(-(self.base + sum((t.predict(x) for t in self.trees), np.zeros(len(x))))))
 
 
-def train(rows: list[tuple[str | None, str, str, int]], rounds: int = 60, depth: int = 3, rate: float = 0.2, reg: float = 1.0, bins: int = 32) -> Model:
-    """Boosted trees from (url, host, path, block) rows."""
-    y = np.array([r[3] for r in rows], float)
-    share = float(y.mean()) if len(y) else 0.0
+def fold_of(host: str) -> int:
+    return crc32(host.encode()) % FOLDS
+
+
+def train(rows: list[tuple[str | None, str, str, int, float]], rounds: int = 60, depth: int = 3, rate: float = 0.2, reg: float = 1.0, bins: int = 32) -> Model:
+    """Boosted trees from (url, host, path, block, weight) rows."""
+    y, weight = np.array([r[3] for r in rows], float), np.array([r[4] for r in rows], float)
+    share = float((y * weight).sum() / weight.sum()) if len(y) else 0.0
     if not len(y) or share in (0.0, 1.0):
         return Model(50.0 if share == 1.0 else -50.0, [], {}, share)
-    tally: dict[str, list[int]] = {}
-    for _, host, _, block in rows:
-        n = tally.setdefault(host.rpartition(".")[2], [0, 0])
-        n[0] += 1
-        n[1] += block
-    suffixes = {s: ((b + 5 * share) / (n + 5), float(np.log1p(n))) for s, (n, b) in tally.items()}
-    x = np.array([lexical(u, h, p, suffixes, share) for u, h, p, _ in rows])
+    folds = [tally([(h, b, w) for _, h, _, b, w in rows if fold_of(h) != k]) for k in range(FOLDS)]
+    x = np.array([lexical(u, h, p, folds[fold_of(h)], share) for u, h, p, _, _ in rows])
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     base, trees = float(np.log(share / (1 - share))), []
     at = np.full(len(y), base)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-at))
         tree = Tree()
-        tree.grow(x, cuts, p - y, np.maximum(p * (1 - p), 1e-6), np.arange(len(y)), depth, reg, rate)
+        tree.grow(x, cuts, weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6), np.arange(len(y)), depth, reg, rate)
         trees.append(tree)
         at += tree.predict(x)
-    return Model(base, trees, suffixes, share)
+    return Model(base, trees, tally([(h, b, w) for _, h, _, b, w in rows]), share)
 
 
 def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None, rules=RULES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
     """(id, host, path, rule, verdict, score), a row for each row; score is the model's chance of block."""
-    bounded_batches(df.sparkSession, 10_000)
     parts = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     parts = parts.select("*", rule.alias("rule"), verdict.alias("said"))
@@ -166,11 +195,11 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", la
     else:
         known = labels.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("block").cast("int").alias("block")).where(F.col("block").isNotNull())
     chosen = smallest_hashes(known, sample, seed, "url", "block")
-    model = train([tuple(r) for r in chosen.collect()])
+    model = train([(*r[:4], float(min(r["n"], WEIGHT))) for r in chosen.collect()])  # at most `sample` rows
     schema = T.StructType([T.StructField(id_col, df.select(id_col).schema[0].dataType), *[T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids, urls, hosts, paths, said_rule, said = batch.columns
             score = model.score(list(zip(urls.to_pylist(), hosts.to_pylist(), paths.to_pylist(), strict=True)))
             verdicts = [v or ("block" if s >= 0.5 else "allow") for v, s in zip(said.to_pylist(), score, strict=True)]

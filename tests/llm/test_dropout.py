@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
+from xxhash import xxh64_intdigest
 
 from conceptlake.llm import sentencepieces
 
@@ -36,3 +41,84 @@ def test_repeated_rows_vary_and_reruns_agree(spark):
     d = spark.createDataFrame([(i, LINE * 20) for i in (1, 1, 1, 2)], "doc_id long, text string")
     runs = [sorted((r["doc_id"], r["pieces_sha256"], r["lossless"]) for r in sentencepieces.encode_and_decode(x, ["doc_id"]).collect()) for x in (d, d.repartition(3))]
     assert runs[0] == runs[1] and len({h for _, h, _ in runs[0]}) == 4 and all(ok for *_, ok in runs[0])
+
+
+def plain_agenda(e, chunk, skipped):
+    """One chunk by looking through all adjacent pairs for the best at every step; ``skipped`` are candidates' numbers."""
+    text = chunk.replace(sentencepieces.MARK, "\0").replace(" ", sentencepieces.MARK)
+    parts, tried, at = [(i, i + 1) for i in range(len(text))], set(), 0
+    while True:
+        open_ = [(e.pieces.rank[text[a[0] : b[1]]], a[0], b[1] - a[0], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if text[a[0] : b[1]] in e.pieces.rank and (a, b) not in tried]
+        if not open_:
+            break
+        *_, k = min(open_)
+        at += 1
+        if at - 1 in skipped:
+            tried.add((parts[k], parts[k + 1]))
+        else:
+            parts[k : k + 2] = [(parts[k][0], parts[k + 1][1])]
+    out = []
+    for a, b in parts:
+        out += [e.pieces.ids[text[a:b]]] if text[a:b] in e.pieces.ids else [e.pieces.byte_id[x] for x in chunk[a:b].encode()]
+    return out, at
+
+
+def test_the_agenda_equals_a_plain_one():
+    e, rng = sentencepieces.Encoder(sentencepieces.model_path(), 0.1), random.Random(3)
+    chunks = [" international", " Donaudampfschiff", " aaaaaaaaaa", " x", " 日本語", "   ", " misunderstandings", " ouéon"]
+    for chunk in chunks:
+        for _ in range(60):
+            skipped = tuple(sorted(rng.sample(range(14), rng.randint(0, 4))))
+            ids, n, _ = e.chunk(chunk, skipped)
+            assert (ids, n) == plain_agenda(e, chunk, skipped), (chunk, skipped)
+
+
+def test_a_text_equals_a_plain_run_with_the_same_draws():
+    """At dropout 0.1: chunk after chunk, the distances drawn for the text say which candidates are skipped."""
+    e = sentencepieces.Encoder(sentencepieces.model_path(), 0.1, seed=5)
+    text = LINE * 30
+    chunks = sentencepieces.SPACES.findall(" " + text)
+    rng = np.random.Generator(np.random.PCG64([5, 77, xxh64_intdigest(text.encode())]))
+    first, spare, want = e.distances(rng, len(chunks)), [], []
+
+    def more():
+        if not spare:
+            spare.extend(e.distances(rng, 64))
+        return spare.pop()
+
+    for chunk, skip in zip(chunks, first, strict=True):
+        skipped = []
+        while True:
+            ids, n = plain_agenda(e, chunk, skipped)
+            if skip >= n:
+                break
+            skipped.append(skip)
+            skip += 1 + more()
+        want += ids
+    assert e.encode(text, 77) == want
+
+
+def test_drops_are_independent():
+    """Of candidates i and j both are skipped in about p^2 of the cases, next to one another too."""
+    e = sentencepieces.Encoder(sentencepieces.model_path(), 0.1)
+    hits, runs = Counter(), 20_000
+    for k in range(runs):
+        rng = np.random.Generator(np.random.PCG64([0, k, 9]))
+        at, skipped = -1, []
+        for d in e.distances(rng, 8):
+            at += d + 1
+            skipped.append(at)
+        few = {s for s in skipped if s < 6}
+        hits.update(few)
+        hits.update((i, j) for i in few for j in few if i < j)
+    for i in range(6):
+        assert hits[i] / runs == pytest.approx(0.1, abs=0.01)
+        assert all(hits[i, j] / runs == pytest.approx(0.01, abs=0.003) for j in range(i + 1, 6))
+
+
+def test_one_word_has_several_segmentations_in_a_run(spark):
+    word = " universities"
+    d = spark.createDataFrame([(i, f"x{word} y") for i in range(400)], "doc_id long, text string")
+    rows = sentencepieces.encode_column(d, ["doc_id"]).collect()
+    e = sentencepieces.Encoder(sentencepieces.model_path())
+    assert len({tuple(r["pieces"]) for r in rows}) > 4 and all(e.decode(list(r["pieces"])) == f"x{word} y" for r in rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from conceptlake.llm import simhash
+from conceptlake.llm import similar
 from test_brute import similar_components
 
 
@@ -25,7 +25,7 @@ def edited(words, kind, new, rng):
 
 def kept(spark, texts):
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    return {r[0] for r in simhash.deduplicated(d).select("doc_id").collect()}
+    return {r[0] for r in similar.deduplicated(d).select("doc_id").collect()}
 
 
 def corpus(kinds, seed, groups=40):
@@ -64,3 +64,27 @@ def test_a_large_group_around_one_text(spark):
     texts[200] = " ".join(base)
     want = set(similar_components(texts, 0.8).values())
     assert len(want) == 1 and kept(spark, texts) == want
+
+
+def test_repeated_ids_and_rows(spark):
+    """An id with two texts is two documents (3 is a near copy of the second); a row that is there twice is one; rows without id stay."""
+    a, b = "one two three four five six seven", "other words that have nothing in common with it"
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "y"), (2, a, "x"), (3, b + " indeed", "x"), (None, a, "x"), (None, a, "x")]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in similar.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert kept == sorted([(0, a), (0, a), (1, a), (1, b)])
+    runs = [sorted(tuple(r) for r in similar.deduplicated(spark.createDataFrame(rows[::k], "doc_id long, text string, source string").where("doc_id IS NOT NULL")).collect()) for k in (1, -1)]
+    assert runs[0] == runs[1]
+
+
+def test_components_have_the_smallest_id(spark):
+    texts = corpus([0.015], 12, groups=10)
+    want = similar_components(texts, 0.8)
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_recall_on_the_test_table(spark):
+    """All pairs at 0.8 of the whole small table, and none below."""
+    texts = {r[0]: r[1] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    want = set(similar_components(texts, 0.8).values())
+    assert len(want) < len(texts) and kept(spark, texts) == want
