@@ -132,9 +132,3 @@ def cut(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     out.__dict__["_cut_path"] = path
     return out
 
-
-def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Hold Arrow batches to ``rows`` rows at most, so that a Python worker's memory is bounded by long texts too."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
