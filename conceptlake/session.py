@@ -14,7 +14,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bounds of one Arrow batch handed to Python: rows, and bytes for long texts.
-ARROW_ROWS, ARROW_BYTES = 1000, "16m"
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def get_session(app: str = "conceptlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,7 +28,7 @@ def get_session(app: str = "conceptlake", master: str | None = None, **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS),
-        "spark.sql.execution.arrow.maxBytesPerBatch": ARROW_BYTES,
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES),
         "spark.ui.showConsoleProgress": "false",
     }
     for key, value in {**defaults, **conf}.items():
@@ -36,6 +36,19 @@ def get_session(app: str = "conceptlake", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """A session that was made elsewhere, with Arrow batches bounded as in ``get_session`` if theirs are larger.
+
+    For programs (registered queries, pipeline stages) to call on the session they are given; operators don't.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key).lower()
+        unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1:], 1)
+        if not 0 < int(now.rstrip("bkmg")) * unit <= most:
+            spark.conf.set(key, str(most))
+    return spark
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder shared by driver and executors: spark.checkpoint.dir.
 

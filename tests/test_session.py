@@ -35,3 +35,14 @@ def test_no_local_folder_on_a_cluster():
     cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://h:7077", getCheckpointDir=lambda: None))
     with pytest.raises(RuntimeError):
         session.scratch_dir(cluster)
+
+
+def test_tuned_bounds_batches(spark):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    other = spark.newSession()
+    for given, want in ((("10000", "64m"), (session.ARROW_ROWS, session.ARROW_BYTES)), (("100", "1m"), (100, 1 << 20)), (("0", "8388608b"), (session.ARROW_ROWS, 8 << 20))):
+        for k, v in zip(keys, given, strict=True):
+            other.conf.set(k, v)
+        session.tuned(other)
+        rows, size = (other.conf.get(k) for k in keys)
+        assert int(rows) == want[0] and size in (str(want[1]), "1m", "8388608b")
