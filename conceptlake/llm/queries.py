@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from conceptlake.llm import fingerprints, gif, language, mixing, quality, secrets, sentencepieces, simhash, stages, tokencounts, urlfilter
-from conceptlake.session import cut
+from conceptlake.session import cut, tuned
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from conceptlake.llm import language, mixing, secrets, sentencepieces, similar
-from conceptlake.session import cut, drop, scratch
+from conceptlake.session import cut, drop, scratch, tuned
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised stay; those that the classifier rejects go."""
+    tuned(spark)
     held_out = language.remainder(F.col("doc_id"), 4) == 2
     model = language.train(docs, ~held_out, "doc_id", "text", "lang")
     packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text"))
@@ -22,11 +23,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    tuned(spark)
     return similar.deduplicated(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
+    tuned(spark)
     return secrets.redact_secrets(docs)
 
 
@@ -38,6 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's pieces with merge-dropout, checked by decoding."""
+    tuned(spark)
     return sentencepieces.encode_and_decode(docs, ["doc_id", "source"])
 
 
