@@ -5,12 +5,14 @@ chunk, an agenda holds the adjacent pairs that form a piece, best score first an
 that is taken from the agenda is skipped with the probability ``dropout``; it may come up again in another pair. Without
 dropout this is the library's segmentation.
 
-Every occurrence of a chunk has draws of its own, from a generator keyed by (seed, the row's key, the text): the same word
-is cut differently from place to place, from document to document and from one repetition of a document to the next, and a
-rerun gives the same pieces. Draws are distances to the next skipped candidate (geometric), which is the same as a draw for
-each candidate. What a chunk's pieces are depends on these distances alone, so workers cache a tree for each chunk: a node
-holds the pieces if nothing more is skipped and the number of candidates up to there, a branch is a distance. Only the
-results are cached, never the draws. Merges only: every result is made of merge-type pieces and single characters.
+Which candidates are skipped a keyed hash says: of (seed, the row's key, the text, the chunk's place in it, the number of the
+draw), through a mixer of two multiply-xorshift rounds. So the same word is cut differently from place to place, from
+document to document and from one repetition of a document to the next, draws are independent, and a rerun gives the same
+pieces. Draws are distances to the next skipped candidate (geometric), which is the same as a draw for each candidate.
+
+The agendas of many chunks are worked off together: a row of symbols each, in numpy arrays by length; at each step every
+row's best pair is found, skipped or merged. Nothing is kept from one chunk to the next, so time is linear in a text and
+the same for any vocabulary. Chunks beyond ``WIDTHS`` have a heap of their own.
 
 Decoding maps pieces to bytes. It is lossless for every text: characters outside the vocabulary are bytes, and so is a
 literal word mark (U+2581), which stands for a space otherwise.
@@ -23,7 +25,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -32,20 +35,32 @@ from xxhash import xxh64_intdigest
 from conceptlake.llm.arrowtext import map_text
 
 MARK = "▁"
-#: Nodes of each generation of a worker's cache; longer chunks are not kept.
-CACHE, LONGEST = 400_000, 32
+#: Rows of symbols that are worked off together, by the longest of them; and how many at once.
+WIDTHS, ROWS = (3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24, 32, 48), 1 << 14
 MASK = (1 << 64) - 1
-SPACES = re.compile(" *[^ ]+| +")
+STEP, GOLD = np.uint64(0xD1B54A32D192ED03), np.uint64(0x9E3779B97F4A7C15)
+#: Symbols have this many bits; no pair has a code of NONE or more.
+BITS, NONE = 21, np.int64(1) << 62
+#: A symbol of ``OTHER`` + c is a character c that is no piece by itself.
+OTHER = 1 << 20
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit numbers of which every bit depends on all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class Pieces:
-    """The model's vocabulary: ids, ranks by score, and bytes."""
+    """The model's vocabulary: ids, ranks by score, bytes, and which pairs of symbols form a piece."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
+        assert n <= OTHER
         self.ids: dict[str, int] = {}
         self.bytes = [b""] * n
         self.byte_id = [0] * 256
@@ -59,52 +74,203 @@ class Pieces:
         # Best score first; equal scores share a rank, so that the leftmost goes first.
         order = {s: r for r, s in enumerate(sorted({sp.get_score(i) for i in self.ids.values()}, reverse=True))}
         self.rank = {p: order[sp.get_score(i)] for p, i in self.ids.items()}
-
-
-class Cache:
-    """A bounded map of two generations: what isn't asked for while one generation fills is forgotten."""
-
-    def __init__(self, size: int) -> None:
-        self.size, self.n, self.young, self.old = size, 0, {}, {}
-
-    def miss(self, key: str) -> list | None:
-        """For a key that isn't among the young: its tree if it is among the old."""
-        got = self.old.pop(key, None)
-        if got is not None:
-            self.put(key, got)
-        return got
-
-    def put(self, key: str, value: list) -> None:
-        if len(key) <= LONGEST:
-            self.grow()
-            self.young[key] = value
-
-    def grow(self) -> None:
-        """Count a node."""
-        self.n += 1
-        if self.n > self.size:
-            self.old, self.young, self.n = self.young, {}, 0
+        self.names = [str(i) for i in range(n)]
+        #: The symbol of each character; a space is the mark, and a literal mark is no piece.
+        self.symbols = np.arange(0x110000, dtype=np.int32) + OTHER
+        for p, i in self.ids.items():
+            if len(p) == 1 and p != MARK:
+                self.symbols[ord(p)] = i
+        if MARK in self.ids:
+            self.symbols[0x20] = self.ids[MARK]
+        self._pairs()
+
+    def symbol(self, part: str) -> int | None:
+        return self.ids.get(part, int(self.symbols[0x20 if part == MARK else ord(part)]) if len(part) == 1 else None)
+
+    def _pairs(self) -> None:
+        """A hash table from two symbols to rank << BITS | id of the piece that they form."""
+        keys, codes = [], []
+        for p, r in self.rank.items():
+            for k in range(1, len(p)):
+                a, b = self.symbol(p[:k]), self.symbol(p[k:])
+                if a is not None and b is not None:
+                    keys.append(a << BITS | b)
+                    codes.append(r << BITS | self.ids[p])
+        keys, codes = np.array(keys, np.int64), np.array(codes, np.int64)
+        bits = max(10, (8 * len(keys)).bit_length())
+        self.shift, self.room = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.codes = np.full(1 << bits, -2, np.int64), np.full(1 << bits, NONE, np.int64)
+        slot, left, self.reach = self.slot(keys), np.arange(len(keys)), 0
+        while len(left):
+            at = (slot[left] + self.reach) & self.room
+            free = np.flatnonzero(self.keys[at] == -2)
+            _, one = np.unique(at[free], return_index=True)  # one for each slot
+            put = free[one]
+            self.keys[at[put]], self.codes[at[put]] = keys[left[put]], codes[left[put]]
+            left = np.delete(left, put)
+            self.reach += 1
+        ranks = list(self.rank.values())
+        #: What a code may exceed another by and be equal: nothing, if no two pieces share a score.
+        self.equal = np.int64(0 if len(set(ranks)) == len(ranks) else (1 << BITS) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * GOLD) >> self.shift).astype(np.int64)
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The code of each pair of symbols, NONE if it forms no piece; -1 is no symbol."""
+        key = a.astype(np.int64) << BITS | b
+        slot = self.slot(key)
+        found = self.keys[slot]
+        code = np.where(found == key, self.codes[slot], NONE)
+        open_ = np.flatnonzero((found != key) & (found != -2))
+        for k in range(1, self.reach):
+            if not len(open_):
+                break
+            at = (slot[open_] + k) & self.room
+            found = self.keys[at]
+            hit = found == key[open_]
+            code[open_[hit]] = self.codes[at[hit]]
+            open_ = open_[~hit & (found != -2)]
+        return code
+
+
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> Pieces:
+    """A model is read once in a process."""
+    return Pieces(path)
 
 
 class Encoder:
-    """``variants`` > 0 takes keys modulo that number, so that a text has so many segmentations at most; 0 leaves them."""
-
-    def __init__(self, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 0) -> None:
-        self.pieces, self.dropout, self.seed, self.variants = Pieces(path), dropout, seed, variants
-        self.cache = Cache(CACHE)
-
-    def distances(self, rng: np.random.Generator, n: int) -> list[int]:
-        """Numbers of candidates that are kept before the next one is skipped."""
-        return (rng.geometric(self.dropout, n) - 1).tolist()
-
-    def chunk(self, chunk: str, skipped: tuple[int, ...] = (), more=None) -> tuple[list[int], int, list[int]]:
-        """The ids of one chunk (spaces are spaces here), the number of candidates and those that were skipped.
+    def __init__(self, path: str, dropout: float = 0.1, seed: int = 0) -> None:
+        self.pieces, self.dropout, self.seed = pieces_of(path), dropout, seed
+
+    def distances(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of candidates that are kept before the next one is skipped, from hashes."""
+        if self.dropout <= 0:
+            return np.full(len(h), 1 << 40, np.int64)
+        if self.dropout >= 1:
+            return np.zeros(len(h), np.int64)
+        u = (h >> np.uint64(11)) * 2.0**-53
+        return np.floor(np.log1p(-u) / np.log1p(-self.dropout)).astype(np.int64)
+
+    def draws(self, key: int) -> Iterator[int]:
+        """The distances of one chunk, one after the other."""
+        at = 0
+        while True:
+            yield from self.distances(mixed(np.uint64(key) + STEP * np.arange(at, at + 64, dtype=np.uint64))).tolist()
+            at += 64
+
+    def merged(self, symbols: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Work off the agendas of many chunks: symbols is width x rows, -1 behind a row's end; the rows' last symbols."""
+        width, n = symbols.shape
+        out = symbols.copy()
+        pair, low = self.pieces.pair, ~self.pieces.equal
+        rows = np.arange(n)
+        now = np.vstack((symbols, np.full((1, n), -1, symbols.dtype)))
+        code = np.vstack([pair(now[c], now[c + 1]) for c in range(width)])  # the last row has no pairs
+        taken, draw = np.zeros(n, np.int64), np.zeros(n, np.uint64)
+        skip = self.distances(mixed(key))
+        while len(rows):
+            best, at = code[0].copy(), np.zeros(len(rows), np.int64)
+            for c in range(1, width - 1):
+                less = code[c] < (best & low)
+                np.copyto(best, code[c], where=less)
+                np.copyto(at, c, where=less)
+            live = best < NONE
+            if not live.all():
+                over = ~live
+                out[:, rows[over]] = now[:width, over]
+                rows, now, code, best, at = rows[live], now[:, live], code[:, live], best[live], at[live]
+                taken, draw, skip, key = taken[live], draw[live], skip[live], key[live]
+                if not len(rows):
+                    break
+            pass_ = taken == skip
+            taken += 1
+            if pass_.any():
+                i = np.flatnonzero(pass_)
+                code[at[i], i] = NONE
+                draw[i] += np.uint64(1)
+                skip[i] = taken[i] + self.distances(mixed(key[i] + STEP * draw[i]))
+            i = np.flatnonzero(~pass_)
+            j = at[i]
+            now[j, i] = (best[i] & ((1 << BITS) - 1)).astype(now.dtype)
+            at[pass_] = width  # these rows stay as they are
+            for c in range(1, width):
+                behind = at < c
+                np.copyto(now[c], now[c + 1], where=behind)
+                np.copyto(code[c], code[c + 1] if c + 1 < width else NONE, where=behind)
+            code[j, i] = pair(now[j, i], now[j + 1, i])
+            inner = j > 0
+            i, j = i[inner], j[inner]
+            code[j - 1, i] = pair(now[j - 1, i], now[j, i])
+        return out
 
-        ``skipped`` are the numbers of the candidates to skip, in order; ``more`` (if given) is asked for the distance to
-        each next one behind them.
+    def encode_many(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
+        """The ids of each text; ``keys`` tell repetitions of a text apart."""
+        lengths = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        ends = np.cumsum(lengths)
+        if not len(texts) or not ends[-1]:
+            return [np.zeros(0, np.int32) for _ in texts]
+        codes = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le"), np.uint32)
+        space = codes == 0x20
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[(ends - lengths)[lengths > 0]] = True
+        start = np.flatnonzero(begins)
+        size = np.diff(np.append(start, len(codes)))
+        # A chunk's key: its text's, and its place in the text.
+        text = np.searchsorted(ends, start, "right")
+        first = np.searchsorted(start, ends - lengths)
+        own = np.array([xxh64_intdigest(t.encode(), self.seed & MASK) if t else 0 for t in texts], np.uint64) ^ mixed(np.array([k & MASK for k in keys], np.uint64))
+        key = mixed(own[text] + GOLD * (np.arange(len(start)) - first[text] + 1).astype(np.uint64))
+        symbols = self.pieces.symbols[codes]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        least = 0
+        for width in WIDTHS:
+            mine = np.flatnonzero((size > least) & (size <= width))
+            least = width
+            for k in range(0, len(mine), ROWS):
+                some = mine[k : k + ROWS]
+                block = np.stack([np.where(size[some] > c, symbols[np.minimum(start[some] + c, len(codes) - 1)], -1) for c in range(width)])
+                done.append((some, self.merged(block, key[some])))
+        for i in np.flatnonzero(size > WIDTHS[-1]).tolist():
+            chunk = codes[start[i] : start[i] + size[i]].tobytes().decode("utf-32-le")
+            done.append((np.array([i]), np.array(self.chunk(chunk, self.draws(int(key[i])).__next__)[0], np.int32)[:, None]))
+        return self.joined(done, first, len(start))
+
+    def joined(self, done: list[tuple[np.ndarray, np.ndarray]], first: np.ndarray, chunks: int) -> list[np.ndarray]:
+        """The ids of each text, whose first chunks are ``first``, from the symbols of the chunks."""
+        count = np.zeros(chunks, np.int64)
+        for rows, symbols in done:
+            count[rows] = (symbols >= 0).sum(0)
+        at = np.concatenate(([0], np.cumsum(count)))
+        flat = np.empty(at[-1], np.int32)
+        for rows, symbols in done:
+            for c, line in enumerate(symbols):
+                there = line >= 0
+                if not there.any():
+                    break
+                flat[at[rows[there]] + c] = line[there]
+        bounds = at[np.append(first, chunks)]
+        other = np.flatnonzero(flat >= OTHER)
+        if len(other):  # characters outside the vocabulary are their bytes
+            spelt = [[self.pieces.byte_id[b] for b in chr(x).encode()] for x in (flat[other] - OTHER).tolist()]
+            times = np.ones(len(flat), np.int64)
+            times[other] = [len(x) for x in spelt]
+            moved = np.concatenate(([0], np.cumsum(times)))
+            flat = np.repeat(flat, times)
+            for i, x in zip(moved[other].tolist(), spelt, strict=True):
+                flat[i : i + len(x)] = x
+            bounds = moved[bounds]
+        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def chunk(self, chunk: str, more: Callable[[], int] | None = None) -> tuple[list[int], int]:
+        """The symbols of one chunk (spaces are spaces here) by a heap, and how many candidates there were.
+
+        ``more`` gives the distance to the next candidate to skip, again and again; without it none is.
         """
-        ids, find = self.pieces.ids, self.pieces.rank.get
-        # A literal mark is shown as U+0000, which no piece has; it is spelt in bytes at the end.
+        find = self.pieces.rank.get
+        # A literal mark is shown as U+0000, which no piece has.
         text = chunk.replace(MARK, "\0").replace(" ", MARK)
         n = len(text)
         # Symbols are spans: width at their first character, 0 elsewhere; before[i] is where the span left of i begins.
@@ -115,8 +281,7 @@ class Encoder:
         push, pop = heapq.heappush, heapq.heappop
         agenda = [r << top | i << bits | 2 for i, r in enumerate(map(find, map(str.__add__, text, text[1:]))) if r is not None]
         heapq.heapify(agenda)
-        at, hit, todo = 0, [], list(skipped[::-1])
-        skip = todo.pop() if todo else more() if more else -1
+        at, skip = 0, more() if more else -1
         while agenda:
             item = pop(agenda)
             w, i = item & mask, item >> bits & mask
@@ -128,8 +293,7 @@ class Encoder:
                 continue
             at += 1
             if at - 1 == skip:
-                hit.append(skip)
-                skip = todo.pop() if todo else at + more() if more else -1
+                skip = at + more()
                 continue
             width[i], width[j] = w, 0
             k = i + w
@@ -148,67 +312,13 @@ class Encoder:
         i = 0
         while i < n:
             piece = text[i : i + width[i]]
-            k = ids.get(piece)
-            if k is not None:
-                out.append(k)
-            else:
-                raw = (MARK if chunk[i] == MARK else chunk[i]).encode()
-                out += [self.pieces.byte_id[b] for b in raw]
+            out.append(self.pieces.ids[piece] if piece in self.pieces.ids else OTHER + ord(chunk[i]))
             i += width[i]
-        return out, at, hit
+        return out, at
 
     def encode(self, text: str, key: int = 0) -> list[int]:
         """The ids of a text; ``key`` tells repetitions of the text apart."""
-        if not text:
-            return []
-        chunks = SPACES.findall(" " + text)
-        cache, out, dropout = self.cache, [], self.dropout
-        if dropout > 0:
-            key = key % self.variants if self.variants else key
-            rng = np.random.Generator(np.random.PCG64([self.seed & MASK, key & MASK, xxh64_intdigest(text.encode())]))
-            draws = self.distances(rng, len(chunks))
-            spare: list[int] = []
-
-            def more() -> int:
-                if not spare:
-                    spare.extend(self.distances(rng, 64))
-                return spare.pop()
-
-        else:
-            draws = [1 << 62] * len(chunks)
-            more = None
-        for c, skip in zip(chunks, draws, strict=True):
-            # A node is [ids, number of candidates, branches]; the first two are None until they are known.
-            node = cache.young.get(c) or cache.miss(c)
-            if node is None:
-                node = [None, None, None]
-                cache.put(c, node)
-            skipped: tuple[int, ...] = ()
-            while True:
-                n = node[1]
-                if n is not None and skip >= n:
-                    out += node[0]
-                    break
-                branch = node[2].get(skip) if node[2] else None
-                if branch is None:
-                    out += self.grown(c, node, skipped, skip, more)
-                    break
-                skipped, node = (*skipped, skip), branch
-                skip += 1 + more()
-        return out
-
-    def grown(self, c: str, node: list, skipped: tuple[int, ...], skip: int, more) -> list[int]:
-        """The ids of a chunk by a path that isn't in its tree yet; ``node`` is where ``skipped`` leads to."""
-        ids, n, hit = self.chunk(c, (*skipped, skip), more)
-        if len(c) <= LONGEST:
-            for k in hit[len(skipped) :]:
-                node[2] = node[2] or {}
-                if k not in node[2]:
-                    node[2][k] = [None, None, None]
-                    self.cache.grow()
-                node = node[2][k]
-            node[0], node[1] = ids, n
-        return ids
+        return self.encode_many([text], [key])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text again; the space that encoding puts in front is dropped."""
@@ -234,12 +344,12 @@ def map_keyed(df: DataFrame, keep: list[str], text_col: str, schema: list, start
     return map_text(rows.select(*keep, F.struct("__key", "__t").alias("__text")), keep, schema, start, "__text")
 
 
-def encode_column(df: DataFrame, keep: list[str], *, text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int = 0) -> DataFrame:
+def encode_column(df: DataFrame, keep: list[str], *, text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 0) -> DataFrame:
     """``keep`` columns with ``pieces`` (array of ids) for every whole text."""
 
     def start():
-        encoder = Encoder(model or model_path(), dropout, seed, variants)
-        return lambda rows: [(encoder.encode(r["__t"] or "", r["__key"]),) for r in rows]
+        encoder = Encoder(model or model_path(), dropout, seed)
+        return lambda rows: [(ids,) for ids in encoder.encode_many([r["__t"] or "" for r in rows], [r["__key"] for r in rows])]
 
     return map_keyed(df, keep, text_col, [("pieces", T.ArrayType(T.IntegerType()))], start)
 
@@ -254,19 +364,19 @@ def decode_column(df: DataFrame, keep: list[str], *, pieces_col: str = "pieces",
     return map_text(df, keep, [("text", T.StringType())], start, pieces_col)
 
 
-def encode_and_decode(df: DataFrame, keep: list[str], *, text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int = 0) -> DataFrame:
+def encode_and_decode(df: DataFrame, keep: list[str], *, text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 0) -> DataFrame:
     """``keep`` with n_bytes, n_pieces, pieces_sha256 (ids, comma-joined), decoded_sha256 and lossless, for every text."""
 
     def start():
-        encoder = Encoder(model or model_path(), dropout, seed, variants)
+        encoder = Encoder(model or model_path(), dropout, seed)
+        names = encoder.pieces.names.__getitem__
 
         def step(rows: list) -> list[tuple]:
-            out = []
-            for r in rows:
-                text = r["__t"] or ""
-                ids = encoder.encode(text, r["__key"])
+            texts, out = [r["__t"] or "" for r in rows], []
+            for text, found in zip(texts, encoder.encode_many(texts, [r["__key"] for r in rows]), strict=True):
+                ids = found.tolist()
                 back = encoder.decode(ids)
-                out.append((len(text.encode()), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
+                out.append((len(text.encode()), len(ids), hashlib.sha256(",".join(map(names, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
             return out
 
         return step

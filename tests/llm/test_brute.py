@@ -387,7 +387,7 @@ def test_pieces_without_dropout_are_the_librarys(texts):
 @pytest.fixture(scope="module")
 def encoders():
     path = sentencepieces.model_path()
-    return [sentencepieces.Encoder(path, d, s, v) for d, s, v in ((0.0, 0, 1), (0.1, 0, 1), (0.5, 3, 2), (1.0, 0, 1))]
+    return [sentencepieces.Encoder(path, d, s) for d, s in ((0.0, 0), (0.1, 0), (0.5, 3), (1.0, 0))]
 
 
 @given(st.text(max_size=80))

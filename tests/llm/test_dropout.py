@@ -1,8 +1,9 @@
-"""Merge-dropout differs between occurrences, documents and repetitions, and not between runs."""
+"""Merge-dropout: plain versions, independence, variation between occurrences, documents and repetitions, equal reruns."""
 
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -12,29 +13,21 @@ from xxhash import xxh64_intdigest
 from conceptlake.llm import sentencepieces
 
 LINE = "several international universities published remarkable discoveries "
+CHUNKS = re.compile(" *[^ ]+| +")
 
 
-def test_occurrences_vary():
-    e = sentencepieces.Encoder(sentencepieces.model_path(), 0.1)
+@pytest.fixture(scope="module")
+def encoder():
+    return sentencepieces.Encoder(sentencepieces.model_path(), 0.1, seed=5)
+
+
+def test_occurrences_vary(encoder):
     plain = sentencepieces.Encoder(sentencepieces.model_path(), 0.0)
-    word = " international"
-    text = word * 2000
-    ids = e.encode(text)
-    assert e.decode(ids) == text and len(set(ids)) > len(set(plain.encode(text)))
-    assert e.encode(text) == ids == sentencepieces.Encoder(sentencepieces.model_path(), 0.1).encode(text)
-    assert e.encode(text, 1) != ids and e.encode(text + " x")[: len(ids)] != ids
-
-
-def test_cached_paths_are_the_agendas():
-    """The share of undisturbed words is (1 - p)^candidates, and the cache changes no result."""
-    e = sentencepieces.Encoder(sentencepieces.model_path(), 0.1)
-    ids, n, _ = e.chunk(" published")
-    same = sum(e.encode("published", k) == ids for k in range(6000)) / 6000
-    skipped = [e.chunk(" published", (k,))[0] == ids for k in range(n)]
-    assert same >= 0.9**n - 0.02 and (any(skipped) or same == pytest.approx(0.9**n, abs=0.02))
-    short = sentencepieces.Encoder(sentencepieces.model_path(), 0.1)
-    short.cache.size = 1
-    assert short.encode(LINE * 50) == e.encode(LINE * 50)
+    text = " international" * 2000
+    ids = encoder.encode(text)
+    assert encoder.decode(ids) == text and len(set(ids)) > len(set(plain.encode(text)))
+    assert encoder.encode(text) == ids == sentencepieces.Encoder(sentencepieces.model_path(), 0.1, seed=5).encode(text)
+    assert encoder.encode(text, 1) != ids and encoder.encode(text + " x")[: len(ids)] != ids
 
 
 def test_repeated_rows_vary_and_reruns_agree(spark):
@@ -63,62 +56,104 @@ def plain_agenda(e, chunk, skipped):
     return out, at
 
 
-def test_the_agenda_equals_a_plain_one():
-    e, rng = sentencepieces.Encoder(sentencepieces.model_path(), 0.1), random.Random(3)
-    chunks = [" international", " Donaudampfschiff", " aaaaaaaaaa", " x", " 日本語", "   ", " misunderstandings", " ouéon"]
-    for chunk in chunks:
+def spelt(e, symbols):
+    return [i for s in symbols for i in ([s] if s < sentencepieces.OTHER else [e.pieces.byte_id[b] for b in chr(s - sentencepieces.OTHER).encode()])]
+
+
+def gaps(skipped):
+    last = -1
+    for s in skipped:
+        yield s - last - 1
+        last = s
+    while True:
+        yield 1 << 40
+
+
+def test_the_heap_equals_a_plain_agenda(encoder):
+    rng = random.Random(3)
+    for chunk in [" international", " Donaudampfschiff", " aaaaaaaaaa", " x", " 日本語", "   ", " misunderstandings", " ouéon", " a▁b"]:
         for _ in range(60):
             skipped = tuple(sorted(rng.sample(range(14), rng.randint(0, 4))))
-            ids, n, _ = e.chunk(chunk, skipped)
-            assert (ids, n) == plain_agenda(e, chunk, skipped), (chunk, skipped)
-
-
-def test_a_text_equals_a_plain_run_with_the_same_draws():
-    """At dropout 0.1: chunk after chunk, the distances drawn for the text say which candidates are skipped."""
-    e = sentencepieces.Encoder(sentencepieces.model_path(), 0.1, seed=5)
-    text = LINE * 30
-    chunks = sentencepieces.SPACES.findall(" " + text)
-    rng = np.random.Generator(np.random.PCG64([5, 77, xxh64_intdigest(text.encode())]))
-    first, spare, want = e.distances(rng, len(chunks)), [], []
-
-    def more():
-        if not spare:
-            spare.extend(e.distances(rng, 64))
-        return spare.pop()
-
-    for chunk, skip in zip(chunks, first, strict=True):
-        skipped = []
-        while True:
-            ids, n = plain_agenda(e, chunk, skipped)
-            if skip >= n:
+            symbols, n = encoder.chunk(chunk, gaps(skipped).__next__)
+            assert (spelt(encoder, symbols), n) == plain_agenda(encoder, chunk, skipped), (chunk, skipped)
+
+
+def plain_encode(e, text, key, agenda):
+    """A text chunk after chunk, with the skips that the keyed hash says."""
+    mixed, one = sentencepieces.mixed, lambda x: np.array([x & sentencepieces.MASK], np.uint64)
+    own = one(xxh64_intdigest(text.encode(), e.seed))[0] ^ mixed(one(key))[0]
+    out = []
+    for k, chunk in enumerate(CHUNKS.findall(" " + text)):
+        chunk_key = int(mixed(one(int(own) + int(sentencepieces.GOLD) * (k + 1)))[0])
+        out += agenda(chunk, e.draws(chunk_key))
+    return out
+
+
+def by_plain(e):
+    def agenda(chunk, draws):
+        skipped, at = [], -1
+        for d in draws:
+            at += d + 1
+            if at > 4 * len(chunk):
                 break
-            skipped.append(skip)
-            skip += 1 + more()
-        want += ids
-    assert e.encode(text, 77) == want
+            skipped.append(at)
+        return plain_agenda(e, chunk, skipped)[0]
+
+    return agenda
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
+def test_texts_equal_a_plain_run(dropout):
+    e = sentencepieces.Encoder(sentencepieces.model_path(), dropout, seed=5)
+    rng = random.Random(1)
+    texts = [LINE * 6, "  two  spaces end ", "日本語 テキスト and ▁ mark", "", "x", " ", "a" * 47 + " " + "b" * 48 + " " + "ab" * 40, "aaaaaaaa bbbbbbbbbbb thethethethe", *("".join(rng.choices("etaoin shé", k=60)) for _ in range(20))]
+    keys = list(range(70, 70 + len(texts)))
+    got = e.encode_many(texts, keys)
+    for text, key, ids in zip(texts, keys, got, strict=True):
+        assert ids.tolist() == (plain_encode(e, text, key, by_plain(e)) if text else []), text
+
+
+def test_a_long_chunk_equals_the_heap(encoder):
+    text = "ab" * 3000 + " " + LINE + "x" * 5000
+    want = plain_encode(encoder, text, 7, lambda c, draws: spelt(encoder, encoder.chunk(c, draws.__next__)[0]))
+    assert encoder.encode(text, 7) == want and encoder.decode(want) == text
 
 
-def test_drops_are_independent():
-    """Of candidates i and j both are skipped in about p^2 of the cases, next to one another too."""
-    e = sentencepieces.Encoder(sentencepieces.model_path(), 0.1)
-    hits, runs = Counter(), 20_000
+def test_what_is_encoded_together_changes_nothing(encoder):
+    texts, keys = [LINE * k for k in range(12)], list(range(12))
+    assert [x.tolist() for x in encoder.encode_many(texts, keys)] == [encoder.encode(t, k) for t, k in zip(texts, keys, strict=True)]
+
+
+def test_drops_are_independent(encoder):
+    """Of candidates i and j both are skipped in about p^2 of the cases, next to one another too; in neighbouring chunks too."""
+    hits, runs, was = Counter(), 20_000, set()
     for k in range(runs):
-        rng = np.random.Generator(np.random.PCG64([0, k, 9]))
-        at, skipped = -1, []
-        for d in e.distances(rng, 8):
+        at, few = -1, set()
+        for d in encoder.draws(int(sentencepieces.mixed(np.array([k + 1], np.uint64) * sentencepieces.GOLD)[0])):
             at += d + 1
-            skipped.append(at)
-        few = {s for s in skipped if s < 6}
+            if at >= 6:
+                break
+            few.add(at)
         hits.update(few)
         hits.update((i, j) for i in few for j in few if i < j)
+        hits.update(("next", i, j) for i in few for j in was)
+        was = few
     for i in range(6):
         assert hits[i] / runs == pytest.approx(0.1, abs=0.01)
         assert all(hits[i, j] / runs == pytest.approx(0.01, abs=0.003) for j in range(i + 1, 6))
+        assert all(hits["next", i, j] / runs == pytest.approx(0.01, abs=0.003) for j in range(6))
+
+
+def test_undisturbed_words_are_as_frequent_as_they_should_be(encoder):
+    ids, n = encoder.chunk(" published")
+    texts = ["published"] * 6000
+    same = np.mean([x.tolist() == ids for x in encoder.encode_many(texts, list(range(6000)))])
+    assert 0.9**n - 0.02 <= same < 0.9**n + 0.2
 
 
-def test_one_word_has_several_segmentations_in_a_run(spark):
-    word = " universities"
-    d = spark.createDataFrame([(i, f"x{word} y") for i in range(400)], "doc_id long, text string")
+def test_one_word_has_several_segmentations_in_a_run(spark, encoder):
+    d = spark.createDataFrame([(i, "x universities y") for i in range(400)], "doc_id long, text string")
     rows = sentencepieces.encode_column(d, ["doc_id"]).collect()
-    e = sentencepieces.Encoder(sentencepieces.model_path())
-    assert len({tuple(r["pieces"]) for r in rows}) > 4 and all(e.decode(list(r["pieces"])) == f"x{word} y" for r in rows)
+    assert len({tuple(r["pieces"]) for r in rows}) > 4 and all(encoder.decode(list(r["pieces"])) == "x universities y" for r in rows)
+    back = sentencepieces.decode_column(sentencepieces.encode_column(d, ["doc_id"]), ["doc_id"]).collect()
+    assert {r["text"] for r in back} == {"x universities y"}
