@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Bounds of what is held as Python objects at once: rows, and bytes (a longer text is alone).
-ROWS, BYTES = 1024, 4 << 20
+ROWS, BYTES = 512, 2 << 20
 
 
 def sizes(column: pa.Array) -> np.ndarray:

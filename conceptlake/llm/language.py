@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from conceptlake.llm.arrowtext import map_text
 from conceptlake.llm.sampling import smallest_hashes_of_each
 
-DIM = 1 << 13
+DIM, STRETCH = 1 << 13, 1 << 17
 SAMPLE, MOST, CLUSTERS, SLACK = 400, 8000, 3, 0.15
 NOT_LETTERS, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
@@ -38,11 +38,19 @@ def grams(text: str) -> np.ndarray | None:
     if not LETTER.search(text):
         return None
     c = np.frombuffer(f" {text} ".encode("utf-32-le"), np.uint32)
-    one = c * np.uint32(0x9E3779B1)
-    two = (one[:-1] ^ (c[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
-    three = (two[:-1] ^ (c[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
-    places = np.concatenate((one[1:-1] >> np.uint32(19), two >> np.uint32(19), three >> np.uint32(19)))
-    return np.bincount(places, minlength=DIM).astype(np.float32)
+    counts = np.zeros(DIM, np.int64)
+    # Stretches of a long text, each with the two characters before it, of which no n-gram is counted again.
+    for i in range(0, len(c), STRETCH):
+        back = min(2, i)
+        part = c[i - back : i + STRETCH]
+        one = part * np.uint32(0x9E3779B1)
+        two = (one[:-1] ^ (part[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
+        three = (two[:-1] ^ (part[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
+        last = i + STRETCH >= len(c)
+        singles = one[back or 1 : -1 if last else None]  # without the blanks at the text's ends
+        places = np.concatenate((singles, two[max(0, back - 1) :], three))
+        counts += np.bincount(places >> np.uint32(19), minlength=DIM)
+    return counts.astype(np.float32)
 
 
 def sparse(text: str | None) -> bytes | None:

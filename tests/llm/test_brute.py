@@ -720,3 +720,15 @@ def test_pipeline_stages_take_effect(spark, docs):
     assert all(any(r["text"] in t for t in hidden[r["doc_id"]]) and r["n_chars"] == len(r["text"]) for r in after.collect())
     before, after = seen["SentencePiece"]
     assert after.where("NOT lossless").count() == 0 and after.count() == before.count()
+
+
+def test_stretches_of_a_long_text_change_nothing(monkeypatch):
+    rng = random.Random(2)
+    for n in (1, 2, 3, 7, 8, 9, 16, 17, 200):
+        text = "".join(rng.choices("abc dé ", k=n)) + "x"
+        whole = language.grams(text)
+        clean = " " + " ".join(text.split()) + " "
+        assert whole.sum() == 3 * len(clean) - 5  # all n-grams, single blanks at the ends apart
+        monkeypatch.setattr(language, "STRETCH", 8)
+        assert (language.grams(text) == whole).all()
+        monkeypatch.undo()
