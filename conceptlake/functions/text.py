@@ -30,12 +30,12 @@ def weighted_tokens(only: list[str] | None = None) -> Column:
     return placed if only is None else F.filter(placed, lambda t: t["lexeme"].isin(only))
 
 
-def headline(body: str | None, terms: list[str], words: int = 35) -> str:
-    """Up to ``words`` words around the first match, with matches in <b>…</b>."""
-    import re
-
-    parts = re.findall(r"\S+", body or "")
-    want = set(terms)
-    hit = [bool(want & set(re.findall(r"[^\W_]+", p.lower()))) for p in parts]
-    start = max(0, (hit.index(True) if True in hit else 0) - words // 3)
-    return " ".join(f"<b>{p}</b>" if h else p for p, h in list(zip(parts, hit, strict=True))[start : start + words])
+def headline(body: Column, terms: list[str] | Column, words: int = 35) -> Column:
+    """Up to ``words`` words around the first match, with matches in <b>…</b>; the beginning where nothing matches."""
+    parts = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"\S+"), F.lit(0))
+    want = terms if isinstance(terms, Column) else F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    marked = F.transform(parts, lambda p: F.struct(p.alias("p"), F.arrays_overlap(tokens(p), want).alias("hit")))
+    first = F.array_position(F.transform(marked, lambda m: m["hit"]), True)
+    start = F.greatest(F.lit(1), first - words // 3).cast("int")
+    shown = F.transform(F.slice(marked, start, words), lambda m: F.when(m["hit"], F.concat(F.lit("<b>"), m["p"], F.lit("</b>"))).otherwise(m["p"]))
+    return F.array_join(shown, " ")

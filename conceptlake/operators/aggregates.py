@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import hashlib
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from conceptlake.catalog import Catalog
 from conceptlake.errors import bounded
@@ -36,11 +41,12 @@ def catalog_stats(catalog: Catalog, now_s: int) -> DataFrame:
     return catalog.table("bundles").join(concepts, "bundle_id", "left").join(links, "bundle_id", "left").select("bundle_id", "name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("concepts", "links", "resolved_links")], age.alias("sync_age_s"), (age > 86400).alias("is_stale"))
 
 
-def health(catalog: Catalog) -> DataFrame:
-    """One row of counts as JSON."""
-    counted = [catalog.table(t).agg(F.count(F.lit(1)).alias(t)) for t in ("bundles", "concepts", "links")]
-    row = counted[0].crossJoin(counted[1]).crossJoin(counted[2])  # three single rows
-    return row.select(F.to_json(F.struct("bundles", "concepts", "links")).alias("health"))
+def health(catalog: Catalog, tables: tuple[str, ...] = ("bundles", "concepts", "links")) -> DataFrame:
+    """One row: counts of tables, the search configuration and backend, and whether settings are known values, as JSON."""
+    counted = [catalog.table(t).agg(F.count(F.lit(1)).alias(t)) for t in tables]
+    row = reduce(lambda a, b: a.crossJoin(b), counted)  # single rows
+    known = catalog.search_backend in ("native", "bm25") and catalog.text_config in ("english", "simple")
+    return row.select(F.to_json(F.struct(*tables, F.lit(catalog.search_backend).alias("backend"), F.lit(catalog.text_config).alias("text_config"), F.lit(known).alias("config_ok"))).alias("health"))
 
 
 def types(catalog: Catalog) -> DataFrame:
@@ -114,25 +120,49 @@ def page_with_total(df: DataFrame, order: list, limit: int) -> DataFrame:
     return df.orderBy(*order).limit(limit).crossJoin(F.broadcast(total))
 
 
-def digest(rows: DataFrame, group: str, order: Column, line: Column) -> DataFrame:
-    """(group, digest): SHA-256 over the groups' lines in order. A group's lines are gathered, as one hash asks."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l")))), lambda s: s["l"]), "\n")
-    return rows.groupBy(group).agg(F.sha2(text, 256).alias("digest"))
+def digest(rows: DataFrame, group: str, order: str, line: Column, head: Column | None = None) -> DataFrame:
+    """(group, digest): SHA-256 over ``head`` and the group's lines in order.
+
+    A task streams its groups' sorted lines through the hash, so a group of any size takes constant memory; as one hash
+    asks, a group is in one task.
+    """
+    head = F.lit("") if head is None else head
+    kind = rows.schema[group].dataType
+    lines = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), line.alias("line"), head.alias("head")).repartition("g").sortWithinPartitions("g", "o")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        out: list[tuple] = []
+        for batch in batches:
+            for g, text, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if state is None or g != now:
+                    if state is not None:
+                        out.append((now, state.hexdigest()))
+                    now, state = g, hashlib.sha256(first.encode())
+                state.update(text.encode())
+        if state is not None:
+            out.append((now, state.hexdigest()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out]), pa.array([d for _, d in out])], names=[group, "digest"])
+
+    return lines.select("g", "line", "head").mapInArrow(run, T.StructType([T.StructField(group, kind), T.StructField("digest", T.StringType())]))
 
 
 def sync_hash(catalog: Catalog) -> DataFrame:
-    """Per bundle: the hash of its sorted (path, file hash) lines."""
-    return digest(catalog.table("concepts"), "bundle_id", F.col("path"), F.concat_ws(" ", "path", "file_hash"))
+    """Per bundle: the hash of its files, each path NUL file hash LF in path order; reserved files don't count."""
+    files = catalog.table("concepts").where(~F.element_at(F.split("path", "/"), -1).isin("index.md", "log.md"))
+    return digest(files, "bundle_id", "path", F.concat("path", F.lit("\0"), "file_hash", F.lit("\n")))
 
 
 def capped_changes(changes: DataFrame, cap: int = 256) -> DataFrame:
-    """Per event and kind: how many, the first ``cap`` ids, whether there were more.
+    """Per event and kind: how many changes, the first ``cap`` ids, whether there were more.
 
-    Ids beyond the cap are dropped by contract; ranking is done before ids are gathered.
+    Ids beyond the cap are dropped by contract, before they are shuffled; the count is of all.
     """
+    counts = changes.groupBy("batch", "kind").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("batch", "kind").orderBy("concept_id")
-    rows = changes.withColumn("r", F.row_number().over(order))
-    return rows.groupBy("batch", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("r") <= cap).alias("listed"), F.min("concept_id").alias("first_id"), (F.count(F.lit(1)) > cap).alias("truncated"))
+    first = changes.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap).groupBy("batch", "kind").agg(F.array_sort(F.collect_list("concept_id")).alias("ids"))
+    return counts.join(first, ["batch", "kind"]).select("batch", "kind", "n", "ids", (F.col("n") > cap).alias("truncated"))
 
 
 def fleet_counts(catalog: Catalog) -> DataFrame:
@@ -141,11 +171,16 @@ def fleet_counts(catalog: Catalog) -> DataFrame:
     return catalog.table("concepts").join(marks, "bundle_id").groupBy("tenant_id", "is_active").agg(F.count(F.lit(1)).alias("n"))
 
 
-def pending_embeddings(catalog: Catalog, contract: str, dim: int) -> DataFrame:
-    """Concepts whose embedding is missing, of another contract, or of another dimension, with the reason."""
-    have = catalog.table("concept_embedding").select("concept_id", "contract", F.size("embedding").alias("dim"))
-    reason = F.when(F.col("contract").isNull(), "missing").when(F.col("contract") != contract, "contract").when(F.col("dim") != dim, "dim")
-    return catalog.of_active(catalog.table("concepts")).select(*KEY).join(have, "concept_id", "left").select(*KEY, reason.alias("reason")).where("reason IS NOT NULL")
+def pending_embeddings(catalog: Catalog, contract: str, dim: int, model: str | None = None) -> DataFrame:
+    """Concepts whose embedding is missing, of another contract, model or dimension, or of other bytes, with the reason."""
+    rows = catalog.table("concept_embedding")
+    col = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    have = rows.select(*KEY, "contract", F.size("embedding").alias("dim"), col("model").alias("model"), col("source_file_hash").alias("made_from"), F.lit(True).alias("has"))
+    reason = F.when(F.col("has").isNull(), "missing").when(~F.col("contract").eqNullSafe(F.lit(contract)), "contract").when(F.col("dim") != dim, "dim")
+    if model is not None:
+        reason = reason.when(~F.col("model").eqNullSafe(F.lit(model)), "model")
+    reason = reason.when(F.col("made_from").isNotNull() & (F.col("made_from") != F.col("file_hash")), "file")
+    return catalog.of_active(catalog.table("concepts")).select(*KEY, "file_hash").join(have, KEY, "left").select(*KEY, reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def embedding_input(concepts: DataFrame, max_chars: int = 8000) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from conceptlake.operators.aggregates import digest
+
 MANIFEST = "SKILL.md"
 ROLES = ("scripts", "references", "assets")
 #: Language of a script and media type of a file by its extension.
@@ -58,11 +60,21 @@ def propagate_visibility(classified: DataFrame, visible: DataFrame) -> DataFrame
     return classified.where("kind = 'resource'").join(own, "path", "left").join(home, "package", "left").select("path", "package", F.coalesce("__own", "__home", F.lit("public")).alias("visibility"))
 
 
+#: What the hash covers beside the files: its domain and the versions of the classification and its checks.
+HASH_HEAD = ("package:v1", "1", "1")
+
+
 def package_hash(classified: DataFrame, hashes: DataFrame) -> DataFrame:
-    """One hash for each package over its files' roles, paths and hashes, in path order."""
+    """One hash for each package: the domain and versions and the manifest's hash, a line each, then for each member, in path
+    order, role NUL path within the package NUL file hash LF."""
     rows = classified.where("kind IN ('resource', 'manifest')").join(hashes, "path")
-    line = F.concat_ws("\x1f", F.coalesce("role", F.lit("manifest")), "path", "file_hash")
-    return rows.groupBy("package").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("l")))), lambda s: s["l"]), "\n"), 256).alias("package_hash"), F.count(F.lit(1)).alias("files"))
+    manifest = rows.where("kind = 'manifest'").select("package", F.concat(F.lit("\n".join(HASH_HEAD) + "\n"), "file_hash", F.lit("\n")).alias("head"))
+    inner = F.when(F.col("package") == "", F.col("path")).otherwise(F.expr("substring(path, length(package) + 2)"))
+    members = rows.join(manifest, "package")
+    # The manifest itself adds no line; it keeps a package without members in the result.
+    line = F.when(F.col("kind") == "manifest", "").otherwise(F.concat("role", F.lit("\0"), inner, F.lit("\0"), "file_hash", F.lit("\n")))
+    hashed = digest(members, "package", "path", line, F.col("head")).withColumnRenamed("digest", "package_hash")
+    return hashed.join(rows.groupBy("package").agg(F.count(F.lit(1)).alias("files")), "package")
 
 
 def get_skill(classified: DataFrame, package: str) -> DataFrame:
@@ -71,6 +83,19 @@ def get_skill(classified: DataFrame, package: str) -> DataFrame:
     return rows.groupBy("package").agg(F.to_json(F.array_sort(F.collect_list(F.struct("path", "role", "media_type")))).alias("resources"))
 
 
+def get_script(classified: DataFrame, files: DataFrame, path: str) -> DataFrame:
+    """A package's script: (path, package, language, byte_size, sha256, content); no row if the path is no script."""
+    script = classified.where((F.col("path") == path) & (F.col("role") == "script")).select("path", "package", "language")
+    return script.join(files.select("path", "content"), "path").select("path", "package", "language", F.length("content").cast("long").alias("byte_size"), F.sha2("content", 256).alias("sha256"), "content")
+
+
+def get_reference(classified: DataFrame, files: DataFrame, path: str, include_bytes: bool = True) -> DataFrame:
+    """A package's reference: (path, package, media_type, byte_size, sha256, content); content is null without bytes."""
+    found = classified.where((F.col("path") == path) & (F.col("role") == "reference")).select("path", "package", "media_type")
+    content = F.col("content") if include_bytes else F.lit(None).cast("binary")
+    return found.join(files.select("path", "content"), "path").select("path", "package", "media_type", F.length("content").cast("long").alias("byte_size"), F.sha2("content", 256).alias("sha256"), content.alias("content"))
+
+
 def attestation_links(metadata: DataFrame, concepts: DataFrame) -> DataFrame:
     """Typed links of attested computations, behind their body links: (bundle_id, source_id, relation, target)."""
     attested = concepts.where(F.lower("type") == "attested computation").select("bundle_id", "concept_id")

@@ -50,18 +50,35 @@ def apply_sync(history: DataFrame, diff: DataFrame, at_us: int) -> DataFrame:
 
 
 def sync_diff(stored: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """(path, change) between stored and scanned (path, file_hash): added, updated, unchanged or removed."""
-    a, b = stored.select("path", F.col("file_hash").alias("was")), snapshot.select("path", F.col("file_hash").alias("is"))
-    change = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(F.col("was") == F.col("is"), "unchanged").otherwise("updated")
+    """(path, change, before_hash, after_hash) between what is stored and what a scan found.
+
+    Both have path and file_hash, and may have concept_id (the id that a path has), owner (the package that a resource
+    belongs to) and projected (whether a manifest has its package's row). The same bytes are unchanged only under the
+    same id and owner, and if nothing is still to be projected.
+    """
+    known = [c for c in ("concept_id", "owner") if c in stored.columns and c in snapshot.columns]
+    a = stored.select("path", F.col("file_hash").alias("was"), *[F.col(c).alias(f"was_{c}") for c in known], *(["projected"] if "projected" in stored.columns else []))
+    b = snapshot.select("path", F.col("file_hash").alias("is"), *[F.col(c).alias(f"is_{c}") for c in known])
+    same = F.col("was") == F.col("is")
+    for c in known:
+        same = same & F.col(f"was_{c}").eqNullSafe(F.col(f"is_{c}"))
+    if "projected" in stored.columns:
+        same = same & F.coalesce("projected", F.lit(True))
+    change = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(same, "unchanged").otherwise("updated")
     return a.join(b, "path", "full_outer").select("path", change.alias("change"), F.col("was").alias("before_hash"), F.col("is").alias("after_hash"))
 
 
-def change_manifest(diff: DataFrame, types: DataFrame) -> DataFrame:
-    """Per changed path its before and after hash; a changed type (path, type_was, type_is) is removed and added."""
-    moved = diff.where("change <> 'unchanged'").join(types, "path", "left")
-    again = (F.col("change") == "updated") & ~F.col("type_was").eqNullSafe(F.col("type_is"))
-    kinds = F.when(again, F.array(F.lit("removed"), F.lit("added"))).otherwise(F.array("change"))
-    return moved.select("path", F.explode(kinds).alias("kind"), "before_hash", "after_hash")
+def change_manifest(diff: DataFrame, ids: DataFrame) -> DataFrame:
+    """Per changed concept its id, kind and hashes. ``ids`` (path, id_was, id_is): a path whose id has changed is removed
+    under the old one, with the hash before, and added under the new one, with the hash after."""
+    moved = diff.where("change <> 'unchanged'").join(ids, "path", "left")
+    again = (F.col("change") == "updated") & F.col("id_was").isNotNull() & ~F.col("id_was").eqNullSafe(F.col("id_is"))
+    none = F.lit(None).cast("string")
+    row = lambda kind, name, before, after: F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), name.alias("concept_id"), before.alias("before_hash"), after.alias("after_hash"))
+    was, is_ = F.coalesce("id_was", "path"), F.coalesce("id_is", "id_was", "path")
+    two = F.array(row("removed", was, F.col("before_hash"), none), row("added", is_, none, F.col("after_hash")))
+    one = F.array(row(F.col("change"), F.when(F.col("change") == "removed", was).otherwise(is_), F.col("before_hash"), F.when(F.col("change") != "removed", F.col("after_hash"))))
+    return moved.select("path", F.explode(F.when(again, two).otherwise(one)).alias("c")).select("path", "c.kind", "c.concept_id", "c.before_hash", "c.after_hash")
 
 
 def list_log(log: DataFrame, order: list, max_rows: int = 100, **equal) -> DataFrame:

@@ -1,272 +1,6 @@
 """Every registered query: a function of (spark, sf_dir), and its SQL twin where SQL can express it."""
 
-from __future__ import annotations
+from conceptlake.plans import deliveries, graphs, histories, listings, searches
+from conceptlake.plans.register import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-
-from conceptlake.catalog import Catalog
-from conceptlake.operators import aggregates as agg, embeddings, freshness, graph, lifecycle, packages, provenance, relationships as rel, search, temporal, workspace
-from conceptlake.plans import oracle as o
-from conceptlake.sources.testdata import catalog, read
-from conceptlake.streaming import outbox
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-NOW_S, AT_US = 1704240000, 1705363200000000
-KEY = ["bundle_id", "concept_id"]
-
-
-def query(sql: str | None = None, name: str | None = None):
-    """Register a function of the catalog (and the data's folder, if it takes one)."""
-
-    def put(f):
-        key = name or f.__name__
-        takes_dir = f.__code__.co_argcount - len(f.__defaults__ or ()) > 1 and f.__code__.co_varnames[1] == "d"
-        QUERIES[key] = lambda spark, sf_dir: f(catalog(spark, sf_dir), sf_dir) if takes_dir else f(catalog(spark, sf_dir))
-        if sql is not None:
-            ORACLES[key] = sql if sql.lstrip().upper().startswith("WITH") else f"{o.CATALOG} {sql}"
-        return f
-
-    return put
-
-
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    for c in columns or ("rank",):
-        df = df.withColumn(c, F.round(F.col(c).cast("double"), 4))
-    return df
-
-
-# --- search -----------------------------------------------------------------------------------------------------------
-
-SEARCHES = {
-    "search_term": ("thnd", {}, "seen"),
-    "search_or": ("thnd OR onan OR leaux", {}, "seen"),
-    "search_and": ("the of", {}, "seen"),
-    "search_phrase": ('"of the"', {}, "seen"),
-    "search_phrase_and_word": ('"of the" and', {}, "seen"),
-    "search_not": ("the -and", {}, "seen"),
-    "search_mixed": ('"in the" of OR ouéon -le OR des', {}, "seen"),
-    "search_type": ("de", {"concept_type": "fr"}, o.sub("type = 'fr'")),
-    "search_types": ("de OR der", {"concept_types": ["fr", "de"]}, o.sub("type IN ('fr', 'de')")),
-    "search_tags": ("the", {"tags": ["en", "curated"]}, o.sub("list_has_all(tags, ['en', 'curated'])")),
-    "search_bundle": ("the", {"bundle_id": 3}, o.sub("bundle_id = 3")),
-    "search_status": ("the", {"status": "draft"}, "(SELECT s.* FROM seen s SEMI JOIN (SELECT * FROM prov WHERE status = 'draft') p USING (bundle_id, concept_id))"),
-    "search_trust": ("the", {"trust_tier": "unverified"}, "(SELECT s.* FROM seen s SEMI JOIN (SELECT * FROM prov WHERE trust_tier = 'unverified') p USING (bundle_id, concept_id))"),
-}
-for _name, (_text, _filters, _rows) in SEARCHES.items():
-    query(o.search_sql(_text, _rows), _name)(lambda c, t=_text, f=_filters: rounded(search.concept_search(c, t, **f)))
-
-
-def _entry(c: Catalog) -> DataFrame:
-    return rounded(search.concept_search(c, "the of"))
-
-
-def _second_page(c: Catalog) -> DataFrame:
-    first = search.concept_search(c, "thnd OR onan OR leaux", limit=20)
-    last = first.orderBy(F.col("rank").asc(), F.col("bundle_id").desc(), F.col("concept_id").desc()).limit(1).collect()[0]
-    return rounded(search.concept_search(c, "thnd OR onan OR leaux", limit=20, after_cursor=search.encode_cursor(last["rank"], last["bundle_id"], last["concept_id"])))
-
-
-query(o.search_sql("thnd OR onan OR leaux", offset=20), "search_page_2")(lambda c: _second_page(c))
-query(f"SELECT x.bundle_id, x.concept_id, x.path, title, type, round(r::DOUBLE, 4) AS rank, {o.FRESH} AS freshness FROM (SELECT s.*, h.rank AS r FROM seen s JOIN {o.rank_sql('thnd OR onan')} h USING (bundle_id, concept_id)) x {o.FRESH_JOIN} WHERE {o.FRESH} <> 'fresh' ORDER BY r DESC, x.bundle_id, x.concept_id LIMIT 20", "search_fresh_stale")(lambda c: rounded(search.concept_search_fresh(c, "thnd OR onan", freshness="stale")))
-query(f"SELECT x.bundle_id, x.concept_id, x.path, title, type, round(r::DOUBLE, 4) AS rank, {o.FRESH} AS freshness FROM (SELECT s.*, h.rank AS r FROM seen s JOIN {o.rank_sql('the of')} h USING (bundle_id, concept_id)) x {o.FRESH_JOIN} ORDER BY r DESC, x.bundle_id, x.concept_id LIMIT 20", "search_fresh_any")(lambda c: rounded(search.concept_search_fresh(c, "the of")))
-for _facet in ("type", "bundle", "status", "trust_tier", "tag"):
-    query(o.facet_sql("the OR de", _facet), f"facets_{_facet}")(lambda c, f=_facet: search.search_facets(c, "the OR de", f))
-query("SELECT unnest(tags) AS value, count(*) AS n FROM seen GROUP BY value", "catalog_facets")(lambda c: search.catalog_facets(c, "tag"))
-query("SELECT value, count(*) AS n FROM (SELECT type AS value FROM seen UNION ALL SELECT unnest(tags) FROM seen) GROUP BY value", "facet_merge")(lambda c: agg.merge_facets(search.catalog_facets(c, "type"), search.catalog_facets(c, "tag")))
-query(f"""SELECT bundle_id, concept_id, path, title, type, round(r::DOUBLE, 4) AS rank FROM (SELECT bundle_id, concept_id, CAST(sum(weight) AS FLOAT) AS r FROM {o.posts()} WHERE lexeme IN (
-  SELECT lexeme FROM {o.posts("(SELECT * FROM concepts WHERE concept_id = 'doc/24')")} WHERE length(lexeme) >= 3 GROUP BY lexeme ORDER BY count(*) DESC, lexeme LIMIT 20) GROUP BY ALL) JOIN concepts USING (bundle_id, concept_id) WHERE concept_id <> 'doc/24' ORDER BY r DESC, bundle_id, concept_id LIMIT 10""", "find_similar")(lambda c: rounded(search.find_similar(c, "doc/24")))
-_bm25_words = o.TOKENS.format("concat_ws(' ', title, description, body_text)")
-query(f"""SELECT bundle_id, concept_id, round(CAST(CAST(s AS FLOAT) AS DOUBLE), 3) AS rank FROM (
-  SELECT d.bundle_id, d.concept_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS s
-  FROM (SELECT bundle_id, concept_id, len(w) AS len, t, len(list_filter(w, lambda x: x = t)) AS tf FROM (SELECT bundle_id, concept_id, {_bm25_words} AS w FROM seen), (SELECT unnest(['thnd', 'onan']) AS t)) d
-  JOIN (SELECT t, count(*) FILTER (tf > 0) AS df FROM (SELECT t, len(list_filter(w, lambda x: x = t)) AS tf FROM (SELECT {_bm25_words} AS w FROM seen), (SELECT unnest(['thnd', 'onan']) AS t)) GROUP BY t) f USING (t), (SELECT count(*) AS n, avg(len({_bm25_words})) AS avg_len FROM seen)
-  WHERE tf > 0 GROUP BY ALL) ORDER BY CAST(s AS FLOAT) DESC, bundle_id, concept_id LIMIT 20""", "search_bm25")(lambda c: search.bm25(c, "onan thnd").withColumn("rank", F.round(F.col("rank").cast("double"), 3)))
-
-
-def _vector(c: Catalog) -> list[float]:
-    return list(c.table("concept_embedding").where("vec_id = 0").select("embedding").first()[0])
-
-
-query(f"SELECT concept_id, label, round(s::DOUBLE, 4) AS score FROM {o.SEM} ORDER BY s DESC, concept_id LIMIT 20", "search_semantic")(lambda c: rounded(search.semantic(c.table("concept_embedding"), _vector(c)), "score"))
-query(f"SELECT concept_id, label, round(s::DOUBLE, 4) AS score FROM {o.SEM} WHERE label IN (1, 2, 3) ORDER BY s DESC, concept_id LIMIT 15", "search_semantic_types")(lambda c: rounded(search.semantic(c.table("concept_embedding"), _vector(c), limit=15, types=[1, 2, 3]), "score"))
-query(f"""SELECT concept_id, round(CAST(CAST(coalesce(1 / (60 + pa), 0) + coalesce(1 / (60 + pb), 0) AS FLOAT) AS DOUBLE), 6) AS score FROM
-  (SELECT concept_id, row_number() OVER (ORDER BY rank DESC, bundle_id, concept_id) AS pa FROM {o.rank_sql("thnd OR onan")} QUALIFY pa <= 20) a FULL JOIN (SELECT concept_id, row_number() OVER (ORDER BY s DESC, concept_id) AS pb FROM {o.SEM} QUALIFY pb <= 20) b USING (concept_id)
-  ORDER BY CAST(coalesce(1 / (60 + pa), 0) + coalesce(1 / (60 + pb), 0) AS FLOAT) DESC, concept_id LIMIT 20""", "search_hybrid")(lambda c: search.hybrid(c, "thnd OR onan", _vector(c)).withColumn("score", F.round(F.col("score").cast("double"), 6)))
-query("SELECT count(*) AS concepts, count(e.concept_id) AS embedded, round(100 * count(e.concept_id) / count(*), 2) AS embedded_pct FROM concepts c LEFT JOIN emb e USING (concept_id)", "index_status")(search.index_status)
-query(f"SELECT lexeme, count(*) AS n, count(DISTINCT concept_id) AS docs, round(sum(weight), 3) AS weight FROM {o.posts('concepts')} GROUP BY lexeme", "index_postings")(lambda c: search.postings(c.table("concepts")).groupBy("lexeme").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("concept_id").alias("docs"), F.round(F.sum("weight"), 3).alias("weight")))
-
-
-@query()
-def search_headlines(c: Catalog) -> DataFrame:
-    return rounded(search.with_headlines(search.concept_search(c, "thnd OR onan", limit=50), c, "thnd OR onan"))
-
-
-# --- aggregations and listings ----------------------------------------------------------------------------------------
-
-query("SELECT file_hash, count(*) AS n, string_agg(bundle_id || ':' || concept_id, ',' ORDER BY bundle_id, concept_id) AS members FROM concepts GROUP BY file_hash HAVING count(*) >= 2", "duplicate_concepts")(lambda c: agg.duplicate_concepts(c))
-query("SELECT file_hash, count(*) AS n, string_agg(bundle_id || ':' || concept_id, ',' ORDER BY bundle_id, concept_id) AS members FROM concepts GROUP BY file_hash HAVING count(*) >= 2 AND bool_or(bundle_id = 2)", "duplicates_of_bundle")(lambda c: agg.duplicate_concepts(c, bundle_id=2))
-query(f"""SELECT b.bundle_id, name, coalesce(c.n, 0) AS concepts, coalesce(l.n, 0) AS links, coalesce(l.r, 0) AS resolved_links, {NOW_S} - synced_s AS sync_age_s, {NOW_S} - synced_s > 86400 AS is_stale FROM bundles b
-  LEFT JOIN (SELECT bundle_id, count(*) AS n FROM concepts GROUP BY 1) c USING (bundle_id) LEFT JOIN (SELECT bundle_id, count(*) AS n, count(*) FILTER (resolved) AS r FROM links GROUP BY 1) l USING (bundle_id)""", "catalog_stats")(lambda c: agg.catalog_stats(c, NOW_S))
-query("SELECT '{\"bundles\":' || (SELECT count(*) FROM bundles) || ',\"concepts\":' || (SELECT count(*) FROM concepts) || ',\"links\":' || (SELECT count(*) FROM links) || '}' AS health", "health")(agg.health)
-query("SELECT DISTINCT type FROM seen", "types")(agg.types)
-query("SELECT CASE type WHEN 'en' THEN 'germanic' WHEN 'de' THEN 'germanic' WHEN 'fr' THEN 'romance' ELSE 'other' END AS type_group, count(*) AS n FROM concepts GROUP BY 1", "type_groups")(lambda c: agg.type_groups(c, {"en": "germanic", "de": "germanic", "fr": "romance"}))
-_LATEST = "(SELECT DISTINCT ON (bundle_id, concept_id) bundle_id, concept_id, verified_by, verified_at_s, ordinal FROM verif ORDER BY bundle_id, concept_id, verified_at_s DESC, ordinal)"
-query(f"SELECT * FROM {_LATEST}", "latest_verification")(agg.latest_verification)
-query(f"SELECT p.bundle_id, p.concept_id, status, trust_tier, verified_at_s FROM prov p SEMI JOIN active a ON p.bundle_id = a.bundle_id LEFT JOIN {_LATEST} v USING (bundle_id, concept_id) WHERE trust_tier <> 'human-reviewed' ORDER BY verified_at_s NULLS FIRST, bundle_id, concept_id LIMIT 50".replace("FROM prov p SEMI JOIN active a ON p.bundle_id = a.bundle_id", "FROM (SELECT * FROM prov SEMI JOIN active USING (bundle_id)) p"), "review_queue")(agg.review_queue)
-query("SELECT bundle_id, concept_id, status, trust_tier FROM prov WHERE generated_by = 'agent:3'", "produced_by")(lambda c: agg.produced_by(c, "agent:3"))
-query(f"SELECT * FROM {_LATEST} WHERE verified_by = 'human:2'", "verified_by")(lambda c: agg.verified_by(c, "human:2"))
-query("SELECT bundle_id, concept_id, stale_after_s, status FROM prov WHERE stale_after_s < 1710000000", "stale_concepts")(lambda c: agg.stale_concepts(c, 1710000000))
-query("SELECT bundle_id, concept_id, path, type FROM seen WHERE (bundle_id, concept_id) > (4, 'doc/503') ORDER BY 1, 2 LIMIT 30", "browse_page")(lambda c: agg.browse(c, 4, "doc/503", 30))
-query("SELECT bundle_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, count(*) AS n, min(path) AS first_path FROM concepts GROUP BY 1, 2", "bundle_tree")(agg.bundle_tree)
-query("SELECT bundle_id, name, file_count, CASE WHEN retired_at IS NOT NULL THEN 'retired' WHEN NOT enabled THEN 'disabled' ELSE 'active' END AS state, tenant_id FROM bundles", "admin_bundles")(agg.admin_bundles)
-query("SELECT bundle_id, name, file_count, count(*) OVER () AS total FROM bundles ORDER BY file_count DESC, bundle_id LIMIT 7", "page_with_total")(lambda c: agg.page_with_total(c.table("bundles").select("bundle_id", "name", "file_count"), [F.col("file_count").desc(), "bundle_id"], 7))
-query("SELECT bundle_id, sha256(string_agg(path || ' ' || file_hash, chr(10) ORDER BY path)) AS digest FROM concepts GROUP BY bundle_id", "sync_hash")(agg.sync_hash)
-query("SELECT c.tenant_id, b.enabled AND b.retired_at IS NULL AS is_active, count(*) AS n FROM concepts c JOIN bundles b USING (bundle_id) GROUP BY ALL", "fleet_counts")(agg.fleet_counts)
-query("SELECT bundle_id, concept_id, CASE WHEN e.concept_id IS NULL THEN 'missing' WHEN contract <> 'v1' THEN 'contract' ELSE 'dim' END AS reason FROM seen LEFT JOIN (SELECT *, len(embedding) AS dim FROM emb) e USING (concept_id) WHERE contract IS NULL OR contract <> 'v1' OR dim <> 64".replace("SELECT bundle_id, concept_id, CASE WHEN e.concept_id IS NULL", "SELECT bundle_id, seen.concept_id, CASE WHEN contract IS NULL"), "pending_embeddings")(lambda c: agg.pending_embeddings(c, "v1", 64))
-query("SELECT bundle_id, concept_id, sha256(left(title || chr(10) || chr(10) || description || chr(10) || chr(10) || body_text, 8000)) AS input_sha FROM concepts", "embedding_input")(lambda c: agg.embedding_input(c.table("concepts")).select(*KEY, F.sha2("input", 256).alias("input_sha")))
-query("SELECT concept_id AS batch, change_kind AS kind, count(*) AS n, least(count(*), 16) AS listed, min(title || event_id) AS first_id, count(*) > 16 AS truncated FROM changes GROUP BY 1, 2", "capped_changes")(lambda c: agg.capped_changes(c.table("changes").select(F.col("concept_id").alias("batch"), F.col("change_kind").alias("kind"), F.concat("title", "event_id").alias("concept_id")), 16))
-query("SELECT bundle_id, count(*) AS n FROM concepts WHERE tenant_id = 't1' GROUP BY 1", "tenant_view")(lambda c: c.for_tenant("t1").table("concepts").groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n")))
-query("SELECT count(*) AS n FROM concepts WHERE false", "tenant_required")(lambda c: c.for_tenant(None, require=True).table("concepts").agg(F.count(F.lit(1)).alias("n")))
-query("SELECT bundle_id FROM bundles WHERE retired_at < TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 7 DAY", "purgeable_bundles")(lambda c: lifecycle.purgeable(c.table("bundles"), "2024-02-01 00:00:00"))
-
-# --- graph ------------------------------------------------------------------------------------------------------------
-
-query(f"SELECT seed AS source_id, node AS neighbor_id, hops, title FROM {o.walk_sql('edges', chr(83) + 'ELECT ' + repr('doc/7') + ' AS seed', 3)} JOIN concepts ON node = concept_id", "concept_neighbors")(lambda c: graph.concept_neighbors(c.table("links"), c.table("concepts"), "doc/7", 3).drop("path"))
-query(f"SELECT seed AS source_id, node, hops FROM {o.walk_sql('edges', 'SELECT concept_id AS seed FROM concepts WHERE doc_id % 50 = 1', 2)}", "neighbors_of_many")(lambda c: graph.neighbors(c.table("links").where("resolved"), c.table("concepts").where("doc_id % 50 = 1").select(F.col("concept_id").alias("seed")), 2).drop("path"))
-_BOTH = "(SELECT DISTINCT source AS source_id, target AS target_id FROM (SELECT source, target FROM rels UNION ALL SELECT target, source FROM rels) WHERE source <> target)"
-_OUT = "(SELECT DISTINCT source AS source_id, target AS target_id FROM (SELECT source, target FROM rels UNION ALL SELECT target, source FROM rels WHERE direction = 'undirected') WHERE source <> target)"
-query(f"SELECT seed AS source_id, node AS neighbor_id, hops FROM {o.walk_sql(_OUT, 'SELECT ' + repr('c/1') + ' AS seed', 2)} ORDER BY hops, node LIMIT 500", "relationship_neighbors_outbound")(lambda c: graph.relationship_neighbors(c.table("relationships"), "c/1", 2, "outbound"))
-query(f"SELECT seed AS source_id, node AS neighbor_id, hops FROM {o.walk_sql(_BOTH, 'SELECT ' + repr('o/33') + ' AS seed', 2)} ORDER BY hops, node LIMIT 500", "relationship_neighbors_both")(lambda c: graph.relationship_neighbors(c.table("relationships"), "o/33", 2, "both"))
-query(f"SELECT concept_id, min(hops) AS hops FROM (SELECT node AS concept_id, hops FROM {o.walk_sql('edges', 'SELECT unnest([' + repr('doc/3') + ', ' + repr('doc/10') + ']) AS seed', 3)} UNION ALL SELECT unnest(['doc/3', 'doc/10']), 0) GROUP BY 1 ORDER BY 2, 1 LIMIT 500", "closure")(lambda c: graph.closure(c.table("links").where("resolved"), ["doc/3", "doc/10"], 3))
-query("SELECT node, count(*) AS degree, (SELECT count(DISTINCT n) FROM (SELECT source_id AS n FROM links UNION ALL SELECT target_id FROM links)) AS total FROM (SELECT source_id AS node FROM links UNION ALL SELECT target_id FROM links) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "top_nodes")(lambda c: graph.top_nodes(c.table("links")))
-query(f"""SELECT source_id, target_id, count(*) AS n, string_agg(DISTINCT link_kind, ',' ORDER BY link_kind) AS kinds FROM links l WHERE resolved AND source_id IN (SELECT n FROM ego) AND target_id IN (SELECT n FROM ego) GROUP BY 1, 2""".replace("SELECT n FROM ego", f"SELECT node FROM {o.walk_sql('edges', 'SELECT ' + repr('doc/7') + ' AS seed', 2)} UNION ALL SELECT 'doc/7'"), "ego_edges")(lambda c: graph.ego(c.table("links"), c.table("concepts"), "doc/7", 2)[1])
-query("SELECT relation_type, count(*) AS sources, sum(n)::BIGINT AS edges, max(n) AS most, bool_and(d) AS directed FROM (SELECT source, relation_type, count(*) AS n, bool_and(direction = 'directed') AS d FROM rels GROUP BY 1, 2) GROUP BY 1", "relationship_rollup")(lambda c: graph.relationship_rollup(c.table("relationships")))
-query("SELECT source_id, ordinal, link_kind, title FROM links LEFT JOIN concepts ON source_id = concept_id WHERE target_id = 'doc/10' AND resolved", "backlinks")(lambda c: graph.backlinks(c.table("links"), c.table("concepts"), "doc/10"))
-query("SELECT target_id, ordinal, link_kind, resolved, title FROM links LEFT JOIN concepts ON target_id = concept_id WHERE source_id = 'doc/10'", "outlinks")(lambda c: graph.outlinks(c.table("links"), c.table("concepts"), "doc/10"))
-query("SELECT bundle_id, source_id, ordinal, target_id FROM links WHERE NOT resolved", "unresolved_links")(lambda c: graph.unresolved(c.table("links")))
-_DEPS = "(SELECT 'b' || (a % 12) AS source_id, 'b' || ((a * 5 + 1) % 40) AS target_id FROM (SELECT unnest(range(0, 60)) AS a) WHERE a % 4 <> 3)"
-query(f"SELECT node AS target, hops FROM {o.walk_sql(_DEPS, 'SELECT ' + repr('b2') + ' AS seed', 8)}", "transitive_invalidation")(lambda c: graph.transitive_invalidation(c.spark.range(60).selectExpr("concat('b', id % 12) AS source", "concat('b', (id * 5 + 1) % 40) AS target", "id % 4 <> 3 AS enabled"), ["b2"])[0])
-
-# --- temporal, freshness, publication ---------------------------------------------------------------------------------
-
-# An open end is shown as -1.
-_SHOWN = "concept_id, version, valid_from, coalesce(valid_to, -1) AS valid_to, change_kind, title"
-query(f"SELECT {_SHOWN} FROM versions", "scd2_versions")(lambda c: temporal.versions(c.table("changes")).fillna(-1, ["valid_to"]))
-query(f"SELECT {_SHOWN} FROM versions WHERE concept_id = 'user/3' ORDER BY version DESC LIMIT 25", "concept_history")(lambda c: temporal.concept_history(temporal.versions(c.table("changes")), "user/3", 25).fillna(-1, ["valid_to"]))
-query(f"SELECT concept_id, max(version) AS version, max_by(valid_from, version) AS valid_from, max_by(title, version) AS title FROM versions WHERE valid_from <= {AT_US} AND (valid_to IS NULL OR valid_to > {AT_US}) GROUP BY 1", "concept_as_of")(lambda c: temporal.concept_as_of(temporal.versions(c.table("changes")), AT_US))
-query(f"SELECT concept_id, count(*) AS kept FROM versions WHERE valid_to IS NULL OR valid_to >= {AT_US} - 86400000000 GROUP BY 1", "history_prune")(lambda c: temporal.prune(temporal.versions(c.table("changes")), 86400000000, AT_US).groupBy("concept_id").agg(F.count(F.lit(1)).alias("kept")))
-query("SELECT coalesce(a.path, b.path) AS path, CASE WHEN was IS NULL THEN 'added' WHEN i IS NULL THEN 'removed' WHEN was = i THEN 'unchanged' ELSE 'updated' END AS change, was AS before_hash, i AS after_hash FROM (SELECT path, file_hash AS was FROM concepts WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT path, CASE WHEN doc_id % 4 = 0 THEN sha256(file_hash) ELSE file_hash END AS i FROM concepts WHERE doc_id % 3 <> 0) b ON a.path = b.path", "sync_diff")(lambda c: temporal.sync_diff(c.table("concepts").where("doc_id % 5 <> 0"), c.table("concepts").where("doc_id % 3 <> 0").withColumn("file_hash", F.when(F.col("doc_id") % 4 == 0, F.sha2("file_hash", 256)).otherwise(F.col("file_hash")))))
-query("""SELECT path, unnest(CASE WHEN doc_id % 4 = 0 AND doc_id % 8 = 0 THEN ['removed', 'added'] ELSE ['updated'] END) AS kind, file_hash AS before_hash, sha256(file_hash) AS after_hash FROM concepts WHERE doc_id % 4 = 0""", "change_manifest")(lambda c: temporal.change_manifest(c.table("concepts").select("path", F.when(F.col("doc_id") % 4 == 0, "updated").otherwise("unchanged").alias("change"), F.col("file_hash").alias("before_hash"), F.sha2("file_hash", 256).alias("after_hash")), c.table("concepts").select("path", F.col("type").alias("type_was"), F.when(F.col("doc_id") % 8 == 0, "moved").otherwise(F.col("type")).alias("type_is"))))
-query("SELECT concept_id, max(version) AS version, count(*) AS n, count(valid_to) AS closed FROM (SELECT concept_id, version, CASE WHEN m AND valid_to IS NULL THEN 9 ELSE valid_to END AS valid_to FROM versions LEFT JOIN (SELECT concept_id, true AS m FROM d WHERE change <> 'unchanged') USING (concept_id) UNION ALL SELECT concept_id, v + 1, CASE WHEN change = 'removed' THEN 9 END FROM d JOIN (SELECT concept_id, max(version) AS v FROM versions GROUP BY 1) USING (concept_id) WHERE change <> 'unchanged') GROUP BY 1".replace("FROM d ", "FROM (SELECT DISTINCT concept_id, CASE CAST(substr(concept_id, 6) AS BIGINT) % 3 WHEN 0 THEN 'removed' WHEN 1 THEN 'updated' ELSE 'unchanged' END AS change FROM changes) d "), "scd2_apply_sync")(lambda c: temporal.apply_sync(temporal.versions(c.table("changes")), c.table("changes").select("concept_id").distinct().selectExpr("concept_id", "CASE cast(substr(concept_id, 6) AS bigint) % 3 WHEN 0 THEN 'removed' WHEN 1 THEN 'updated' ELSE 'unchanged' END AS change", "'x' AS title"), 9).groupBy("concept_id").agg(F.max("version").alias("version"), F.count(F.lit(1)).alias("n"), F.count("valid_to").alias("closed")))
-query("SELECT event_id, at_us, concept_id, title FROM changes WHERE title = 'click' ORDER BY at_us DESC, event_id DESC LIMIT 100", "sync_log")(lambda c: temporal.list_log(c.table("changes"), [F.col("at_us").desc(), F.col("event_id").desc()], 100, title="click").select("event_id", "at_us", "concept_id", "title"))
-query("SELECT event_id, at_us, concept_id, title FROM changes WHERE concept_id = 'user/5' ORDER BY at_us DESC, event_id DESC LIMIT 40", "access_log")(lambda c: temporal.list_log(c.table("changes"), [F.col("at_us").desc(), F.col("event_id").desc()], 40, concept_id="user/5").select("event_id", "at_us", "concept_id", "title"))
-query("SELECT scope, state, count(*) AS n FROM (SELECT 'bundle' AS scope, state FROM fb UNION ALL SELECT 'concept', state FROM fc UNION ALL SELECT 'path', state FROM fp) GROUP BY ALL", "effective_freshness")(lambda c: freshness.effective(c.table("bundle_freshness"), c.table("concept_freshness"), c.table("path_freshness")).groupBy("scope", "state").agg(F.count(F.lit(1)).alias("n")))
-query(f"SELECT x.bundle_id, x.concept_id, {o.FRESH} AS freshness FROM concepts x {o.FRESH_JOIN}", "freshness_overlay")(lambda c: search.freshness_of(c, c.table("concepts").select(*KEY, "path")).select(*KEY, "freshness"))
-query("""SELECT key, max_by(state, run) AS state, max_by(reasons, run) AS reasons, max_by(since, run) AS since FROM (SELECT key, run, any_value(state) AS state, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons, min(seq) AS since FROM (
-  SELECT *, sum(turn) OVER (PARTITION BY key ORDER BY seq) AS run FROM (SELECT *, CASE WHEN lag(state) OVER w IS NOT DISTINCT FROM state THEN 0 ELSE 1 END AS turn FROM (SELECT *, coalesce(bool_or(state = 'retired') OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS past
-  FROM (SELECT user_id AS key, event_id AS seq, CASE event_id % 7 WHEN 0 THEN 'fresh' WHEN 1 THEN 'reconciling' WHEN 2 THEN CASE WHEN event_id % 97 = 2 THEN 'retired' ELSE 'blocked' END ELSE 'stale' END AS state, event_type AS reason FROM events)) WHERE NOT past WINDOW w AS (PARTITION BY key ORDER BY seq))) GROUP BY key, run) GROUP BY key""", "freshness_states")(lambda c, d: freshness.folded_states(read(c.spark, d, "events").selectExpr("user_id AS key", "event_id AS seq", "CASE event_id % 7 WHEN 0 THEN 'fresh' WHEN 1 THEN 'reconciling' WHEN 2 THEN CASE WHEN event_id % 97 = 2 THEN 'retired' ELSE 'blocked' END ELSE 'stale' END AS state", "event_type AS reason")))
-
-
-def _dependencies(c: Catalog) -> DataFrame:
-    kind = "CASE id % 4 WHEN 0 THEN 'bundle' WHEN 1 THEN 'concept' WHEN 2 THEN 'path' ELSE 'path_prefix' END"
-    key = "CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN concat('doc/', id) WHEN 2 THEN concat('doc/', id, '.md') ELSE concat('doc/', id % 9 + 1) END"
-    return c.spark.range(120).selectExpr("id AS dep_id", "id % 20 + 1 AS source_bundle", f"{kind} AS selector", f"{key} AS selector_key", "concat('b', id % 6) AS target", "id % 5 AS watermark", "id % 11 <> 0 AS enabled", "concat('k', id % 3) AS own_causation")
-
-
-_DEPS_SQL = "(SELECT id AS dep_id, id % 20 + 1 AS source_bundle, CASE id % 4 WHEN 0 THEN 'bundle' WHEN 1 THEN 'concept' WHEN 2 THEN 'path' ELSE 'path_prefix' END AS selector, CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN 'doc/' || id WHEN 2 THEN 'doc/' || id || '.md' ELSE 'doc/' || (id % 9 + 1) END AS k, 'b' || (id % 6) AS target, id % 5 AS watermark, id % 11 <> 0 AS enabled, 'k' || (id % 3) AS own FROM (SELECT unnest(range(0, 120)) AS id))"
-query(f"SELECT dep_id, target, max(g) AS watermark_now, count(*) FILTER (caus IS DISTINCT FROM own) AS n FROM {_DEPS_SQL} d JOIN (SELECT bundle_id, concept_id, path, doc_id % 6 AS g, CASE WHEN doc_id % 2 = 0 THEN 'k' || (doc_id % 3) END AS caus FROM concepts) c ON source_bundle = bundle_id AND CASE selector WHEN 'bundle' THEN true WHEN 'concept' THEN k = concept_id WHEN 'path' THEN k = path ELSE starts_with(path, k) END WHERE enabled AND g > watermark GROUP BY ALL", "evaluate_dependencies")(lambda c: freshness.selector_matches(_dependencies(c), c.table("concepts").selectExpr("bundle_id", "concept_id", "path", "doc_id % 6 AS generation", "CASE WHEN doc_id % 2 = 0 THEN concat('k', doc_id % 3) END AS causation")))
-query("SELECT o_orderkey AS publication_id, 't' || (o_custkey % 3) AS tenant_id, 'p' || (o_custkey % 50) AS producer, o_orderkey % 97 AS publication_generation, CASE WHEN row_number() OVER (PARTITION BY o_custkey % 3, o_custkey % 50 ORDER BY o_orderkey % 97 DESC, o_orderkey) = 1 THEN 'active' ELSE 'superseded' END AS state FROM orders", "activate_staged")(lambda c, d: rel.activate(read(c.spark, d, "orders").selectExpr("o_orderkey AS publication_id", "concat('t', o_custkey % 3) AS tenant_id", "concat('p', o_custkey % 50) AS producer", "o_orderkey % 97 AS publication_generation")))
-query("SELECT relation_type, count(*) AS n, count(*) FILTER (unresolved) AS unresolved FROM (SELECT relation_type, target NOT IN (SELECT 'c/' || c_custkey FROM customer UNION ALL SELECT 's/' || s_suppkey FROM supplier) AS unresolved FROM rels WHERE source IN (SELECT 'c/' || c_custkey FROM customer)) GROUP BY 1", "resolve_relationships")(lambda c, d: rel.resolve(c.table("relationships"), read(c.spark, d, "customer").select(F.concat(F.lit("c/"), "c_custkey").alias("concept_id")).unionByName(read(c.spark, d, "supplier").select(F.concat(F.lit("s/"), "s_suppkey").alias("concept_id")))).groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("unresolved").alias("unresolved")))
-query("SELECT source, target, sha256(source || chr(31) || relation_type || chr(31) || direction || chr(31) || target || chr(31) || '0.5') AS row_hash FROM rels WHERE relation_type = 'geo:same_nation'", "validate_relationships")(lambda c: rel.validate(c.table("relationships").where("relation_type = 'geo:same_nation'").withColumn("confidence", F.lit(0.5))).select("source", "target", "row_hash"))
-
-# --- streaming and delivery -------------------------------------------------------------------------------------------
-
-
-def _outbox(c: Catalog) -> DataFrame:
-    return c.table("changes").select("event_id", F.col("title").alias("operation"), "concept_id", "at_us", (F.col("event_id") % 3 == 0).alias("acked"), F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 200).alias("claimed_until"), F.lit(None).cast("string").alias("claimed_by"), (F.col("event_id") % 4).cast("int").alias("attempts"))
-
-
-query("SELECT event_id, operation, attempts + 1 AS attempts FROM (SELECT event_id, title AS operation, (event_id % 4)::INT AS attempts FROM changes WHERE event_id % 3 <> 0 AND (event_id % 5 <> 0 OR event_id % 200 <= 100)) ORDER BY event_id LIMIT 500", "outbox_claim")(lambda c: outbox.claim(_outbox(c), "me", 100, limit=500)[0].select("event_id", "operation", "attempts"))
-query("SELECT title AS operation, count(*) AS n, min(event_id) AS oldest FROM changes WHERE event_id % 3 <> 0 GROUP BY 1", "outbox_pending")(lambda c: outbox.pending(_outbox(c)).groupBy("operation").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("oldest")))
-query("SELECT count(*) AS kept FROM changes WHERE NOT (event_id % 3 = 0 AND at_us < 1705363200000000)", "outbox_prune")(lambda c: outbox.prune(_outbox(c), AT_US).agg(F.count(F.lit(1)).alias("kept")))
-
-
-@query("SELECT user_id AS bundle_id, 'user/' || user_id AS concept_id, max(event_id) AS event_id, max_by(event_type, event_id) AS operation FROM events GROUP BY ALL")
-def stream_latest(c: Catalog, d: str) -> DataFrame:
-    """Events written to an outbox, read as a stream by micro-batches, folded to each concept's newest event."""
-    import uuid
-
-    from conceptlake.session import scratch_dir
-
-    base = f"{scratch_dir(c.spark)}/outbox-{uuid.uuid4().hex}"
-    events = read(c.spark, d, "events").selectExpr("event_id", "user_id AS bundle_id", "event_type AS operation", "concat('user/', user_id) AS concept_id", "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) AS at_us", "cast(null AS string) AS causation")
-    for part in range(2):
-        outbox.append(events.where(F.col("event_id") % 2 == part), f"{base}/events")
-
-    def handle(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy("bundle_id", "concept_id").agg(F.max_by(F.struct("event_id", "operation"), "event_id").alias("e"))
-        newest.write.mode("overwrite").parquet(f"{base}/seen/batch={number}")  # the same number overwrites itself
-
-    outbox.deliver(outbox.read_stream(c.spark, f"{base}/events", 1), handle, f"{base}/checkpoint").awaitTermination()
-    seen = c.spark.read.parquet(f"{base}/seen")
-    order = Window.partitionBy("bundle_id", "concept_id").orderBy(F.col("e.event_id").desc())
-    return seen.withColumn("r", F.row_number().over(order)).where("r = 1").select("bundle_id", "concept_id", "e.event_id", "e.operation")
-
-# --- packages, provenance, embeddings, workspaces ---------------------------------------------------------------------
-
-# A tree of files made of numbers: every 50th path is a manifest, its neighbours lie beside or below it.
-_PATH = "concat('pkg/', doc_id div 50, CASE doc_id % 10 WHEN 0 THEN '/SKILL.md' WHEN 1 THEN concat('/scripts/run', doc_id, '.py') WHEN 2 THEN concat('/scripts/sub/go', doc_id, '.sh') WHEN 3 THEN concat('/references/r', doc_id, '.md') WHEN 4 THEN concat('/assets/a', doc_id, '.png') WHEN 5 THEN '/index.md' WHEN 6 THEN concat('/notes/n', doc_id, '.md') WHEN 7 THEN concat('/x', doc_id, '.bin') ELSE concat('/scripts', doc_id, '.md') END)"
-_PATH_SQL = _PATH.replace("div", "//")
-
-
-def _files(c: Catalog) -> DataFrame:
-    return c.table("concepts").where("doc_id % 10 <> 0 OR doc_id % 50 = 0").where("doc_id % 10 <> 5 OR doc_id % 50 = 5").selectExpr(f"{_PATH} AS path", "file_hash", "doc_id")
-
-
-_FILES_SQL = f"(SELECT {_PATH_SQL} AS path, file_hash, doc_id FROM concepts WHERE (doc_id % 10 <> 0 OR doc_id % 50 = 0) AND (doc_id % 10 <> 5 OR doc_id % 50 = 5))"
-_KIND_SQL = f"""(SELECT path, file_hash, doc_id, 'pkg/' || (doc_id // 50) AS package, CASE WHEN doc_id % 10 IN (1, 2, 3, 4) THEN 'resource' WHEN doc_id % 10 = 5 THEN 'reserved' WHEN doc_id % 10 = 0 THEN 'manifest' WHEN path LIKE '%.md' THEN 'document' ELSE 'ignored' END AS kind,
-  CASE doc_id % 10 WHEN 1 THEN 'script' WHEN 2 THEN 'script' WHEN 3 THEN 'reference' WHEN 4 THEN 'asset' END AS role, CASE doc_id % 10 WHEN 1 THEN 'python' WHEN 2 THEN 'shell' END AS language,
-  CASE WHEN path LIKE '%.md' THEN 'text/markdown' WHEN path LIKE '%.png' THEN 'image/png' ELSE 'application/octet-stream' END AS media_type FROM {_FILES_SQL})"""
-query(f"SELECT path, package, kind, coalesce(role, '-') AS role, coalesce(language, '-') AS language, media_type FROM {_KIND_SQL}", "package_classify")(lambda c: packages.classify(_files(c)).fillna("-", ["role", "language"]))
-query(f"SELECT package, path, CASE role WHEN 'reference' THEN 'REFERENCES' ELSE 'USES' END AS relation FROM {_KIND_SQL} WHERE kind = 'resource'", "package_membership")(lambda c: packages.membership(packages.classify(_files(c))))
-query(f"SELECT package, sha256(string_agg(coalesce(role, 'manifest') || chr(31) || path || chr(31) || file_hash, chr(10) ORDER BY path)) AS package_hash, count(*) AS files FROM {_KIND_SQL} WHERE kind IN ('resource', 'manifest') GROUP BY package", "package_hash")(lambda c: packages.package_hash(packages.classify(_files(c)), _files(c).select("path", "file_hash")))
-query(f"SELECT path, package, CASE WHEN doc_id % 6 = 1 THEN 'private' WHEN doc_id // 50 % 2 = 1 THEN 'internal' ELSE 'public' END AS visibility FROM {_KIND_SQL} WHERE kind = 'resource'", "package_visibility")(lambda c: packages.propagate_visibility(packages.classify(_files(c)), _files(c).where("doc_id % 6 = 1 OR (doc_id % 50 = 0 AND doc_id div 50 % 2 = 1)").selectExpr("path", "CASE WHEN doc_id % 50 = 0 AND doc_id div 50 % 2 = 1 THEN 'internal' ELSE 'private' END AS visibility").unionByName(_files(c).where("doc_id % 50 = 0 AND doc_id div 50 % 2 = 0 AND doc_id % 6 <> 1").selectExpr("path", "'public' AS visibility"))))
-
-
-@query()
-def package_skill(c: Catalog) -> DataFrame:
-    return packages.get_skill(packages.classify(_files(c)), "pkg/1")
-
-
-def _fronts(c: Catalog) -> DataFrame:
-    made = "concat('{\"status\":\"', CASE WHEN doc_id % 2 = 0 THEN 'stable' ELSE 'draft' END, '\",\"stale_after\":\"2024-0', doc_id % 9 + 1, '-1', doc_id % 10, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'T05:06:07Z' WHEN 2 THEN ' 10:30+02:00' ELSE 'T99:00' END, '\",\"generated\":{\"by\":\"agent:', doc_id % 5, '\",\"at\":\"2023-12-31\"},\"verified\":[', CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '{\"by\":\"bot\",\"at\":\"2024-01-01\"}' ELSE '{\"by\":\"bot\"},{\"by\":\"human:a\",\"at\":\"2024-01-02T00:00:60Z\"}' END, ']}')"
-    return c.table("concepts").selectExpr("bundle_id", "concept_id", f"{made} AS front")
-
-
-query("SELECT bundle_id, concept_id, 'agent:' || (doc_id % 5) AS generated_by, 1703980800 AS generated_at_s, CASE WHEN doc_id % 2 = 0 THEN 'stable' ELSE 'draft' END AS status, coalesce(epoch(make_date(2024, CAST(doc_id % 9 + 1 AS INT), CAST(10 + doc_id % 10 AS INT)))::BIGINT + CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 18367 WHEN 2 THEN 30600 END, -1) AS stale_after_s, CASE doc_id % 3 WHEN 0 THEN 'unverified' WHEN 1 THEN 'machine-confirmed' ELSE 'human-reviewed' END AS trust_tier FROM concepts", "provenance_projection")(lambda c: provenance.project(_fronts(c), KEY)["concept_provenance"].select(*KEY, "generated_by", "generated_at_s", "status", F.coalesce("stale_after_s", F.lit(-1)).alias("stale_after_s"), "trust_tier"))
-query("SELECT bundle_id, concept_id, o AS ordinal, CASE WHEN o = 1 THEN 'human:a' ELSE 'bot' END AS verified_by, CASE WHEN o = 1 THEN 1704153660 WHEN doc_id % 3 = 1 THEN 1704067200 ELSE -1 END AS verified_at_s FROM (SELECT *, unnest(range(0, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END)) AS o FROM concepts)", "provenance_verifications")(lambda c: provenance.project(_fronts(c), KEY)["concept_verification"].withColumn("verified_at_s", F.coalesce("verified_at_s", F.lit(-1))))
-query("SELECT doc_id, i - 1 AS at, -1 AS logged_at_s, trim(regexp_replace(l[i], '^\\s*(#+\\s*|[-*+]\\s+)', '')) AS entry FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE doc_id % 7 = 0) WHERE trim(regexp_replace(l[i], '^\\s*(#+\\s*|[-*+]\\s+)', '')) <> ''", "bundle_log")(lambda c, d: provenance.log_entries(read(c.spark, d, "documents").where("doc_id % 7 = 0"), ["doc_id"]).withColumn("logged_at_s", F.coalesce("logged_at_s", F.lit(-1))))
-query("SELECT bundle_id, concept_id, path, type, title, coalesce(status, '-') AS status, coalesce(trust_tier, '-') AS trust_tier, (SELECT count(*) FROM links WHERE source_id = 'doc/24') AS links_out, (SELECT count(*) FROM links WHERE target_id = 'doc/24' AND resolved) AS links_in FROM seen LEFT JOIN (SELECT bundle_id, concept_id, status, trust_tier FROM prov) p USING (bundle_id, concept_id) WHERE concept_id = 'doc/24'", "get_concept")(lambda c: workspace.get_concept(c, "doc/24").fillna("-", ["status", "trust_tier"]))
-query("SELECT bundle_id, concept_id, min(place) AS place FROM (SELECT bundle_id, concept_id, p - 1 AS place FROM seen JOIN (SELECT unnest(['doc/42', 'doc/1', 'doc/88']) AS concept_id, unnest([1, 2, 3]) AS p) USING (concept_id) UNION ALL SELECT s.bundle_id, s.concept_id, 3 FROM seen s SEMI JOIN (SELECT * FROM prov WHERE trust_tier = 'human-reviewed') p USING (bundle_id, concept_id) WHERE type = 'de') GROUP BY 1, 2 ORDER BY 3, 1, 2 LIMIT 50", "workspace_select")(lambda c: workspace.select(c, ["doc/42", "doc/1", "doc/88"], tiers=["human-reviewed"], concept_type="de"))
-query("SELECT c.bundle_id, CASE WHEN doc_id % 6 = 0 THEN 'gone/' || doc_id ELSE concept_id END AS concept_id, CASE WHEN doc_id % 6 = 0 THEN 'unknown' WHEN NOT (enabled AND retired_at IS NULL) THEN 'retired' WHEN doc_id % 4 = 1 THEN 'stale' ELSE 'current' END AS state FROM concepts c JOIN bundles b USING (bundle_id)", "plugin_freshness")(lambda c: workspace.check_lock(c.table("concepts").selectExpr("bundle_id", "CASE WHEN doc_id % 6 = 0 THEN concat('gone/', doc_id) ELSE concept_id END AS concept_id", "CASE WHEN doc_id % 4 = 1 THEN 'old' ELSE file_hash END AS file_hash"), c))
-query("SELECT source_id, target_id, count(*) AS n, string_agg(DISTINCT link_kind, ',' ORDER BY link_kind) AS kinds FROM links WHERE resolved AND source_id IN (SELECT n FROM (SELECT source_id AS n FROM links UNION ALL SELECT target_id FROM links) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 200) AND target_id IN (SELECT n FROM (SELECT source_id AS n FROM links UNION ALL SELECT target_id FROM links) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 200) GROUP BY 1, 2", "catalog_graph")(lambda c: graph.edges_among(c.table("links").where("resolved"), graph.top_nodes(c.table("links"), 200).select(F.col("node").alias("concept_id"))))
-
-
-def _written(c: Catalog) -> DataFrame:
-    """Every third concept's vector is offered; those with an even id were made from other bytes and are refused."""
-    old = c.table("concepts").where("doc_id % 2 = 0").selectExpr("bundle_id", "concept_id", "'old' AS model", "file_hash AS source_file_hash")
-    new = c.table("concepts").where("doc_id % 3 = 0").selectExpr("bundle_id", "concept_id", "'new' AS model", "CASE WHEN doc_id % 4 = 0 THEN 'other' ELSE file_hash END AS source_file_hash")
-    return embeddings.store(old, new, c.table("concepts")).select(*KEY, "model")
-
-
-query("SELECT bundle_id, concept_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 THEN 'new' ELSE 'old' END AS model FROM concepts WHERE doc_id % 2 = 0 OR (doc_id % 3 = 0 AND doc_id % 4 <> 0)", "embedding_store")(_written)
-
-
-@query()
-def embedding_pipeline(c: Catalog) -> DataFrame:
-    """Pending concepts rendered and embedded."""
-    todo = agg.pending_embeddings(c, "v1", 64).select(*KEY)
-    return embeddings.embed(agg.embedding_input(c.table("concepts").join(todo, KEY, "left_semi")), 32).select(*KEY, "dim", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
+__all__ = ["ORACLES", "QUERIES", "deliveries", "graphs", "histories", "listings", "searches"]

@@ -30,6 +30,8 @@ class Concept:
     tags: list[str] | None
     resource: str | None
     metadata: dict[str, str]
+    front: str
+    trust_tier: str
     body: str
     text: str
     file_hash: str
@@ -118,7 +120,7 @@ def parse(path: str, data: bytes) -> Concept:
     return Concept(
         clean, normalize.concept_id(clean), front["type"], front["title"], front.get("id"), front.get("description"), tags,
         resource if resource is None or isinstance(resource, str) else as_json(resource), {str(k): as_json(v) for k, v in front.items() if k not in CORE},
-        body, plain_text(body), hashlib.sha256(data).hexdigest(), links(body, clean),
+        as_json(front), trust_tier(front), body, plain_text(body), hashlib.sha256(data).hexdigest(), links(body, clean),
     )
 
 
@@ -135,7 +137,9 @@ def log_entries(text: str) -> list[dict]:
 
 
 def trust_tier(front: dict) -> str:
-    """Any human verification: human-reviewed; none at all: unverified; else machine-confirmed."""
+    """Any human verification: human-reviewed; none at all: unverified; else machine-confirmed. A single mapping is a list
+    of one; entries that don't name who are none."""
     marks = front.get("verified") or []
-    who = [str(v.get("by", "")) for v in marks if isinstance(v, dict)]
+    marks = [marks] if isinstance(marks, dict) else marks if isinstance(marks, list) else []
+    who = [v["by"].strip() for v in marks if isinstance(v, dict) and isinstance(v.get("by"), str) and v["by"].strip()]
     return "human-reviewed" if any(w.startswith("human:") for w in who) else "machine-confirmed" if who else "unverified"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from conceptlake.errors import Duplicate, NotFound, bounded
@@ -68,9 +68,8 @@ def prune(events: DataFrame, older_than_us: int) -> DataFrame:
 
 
 def pending(events: DataFrame) -> DataFrame:
-    """Events that wait, by operation, oldest first."""
-    order = Window.partitionBy("operation").orderBy("event_id")
-    return events.where(~F.col("acked")).withColumn("place", F.row_number().over(order))
+    """Events that wait; ``claim`` takes the oldest."""
+    return events.where(~F.col("acked"))
 
 
 def watch(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:

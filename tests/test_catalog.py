@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -47,15 +48,16 @@ def test_phrase_not_and_headline(golden):
     ids = lambda q: {r["concept_id"] for r in search.concept_search(golden, q).collect()}
     assert ids('"failover back"') == {"runbooks/failover"} and ids("failover -standby") == {"runbooks/failover-appendix", "services/widget"}
     assert ids("standby OR thrice") == {"runbooks/failover", "services/widget"} and ids("no(such !word") == set()
-    hits = search.with_headlines(search.concept_search(golden, "standby"), golden, "standby").collect()
-    assert "<b>standby.</b>" in hits[0]["headline"]
+    assert ids("-standby") == {"runbooks/failover-appendix", "services/widget"} and ids("thrice OR -failover") == {"services/widget"}
+    assert "<b>standby.</b>" in search.concept_search(golden, "standbys").first()["headline"]
+    assert ids("failovers") == ids("failover") and ids("the") == set()  # stems; a stop word is nothing to look for
 
 
 def test_links_and_neighbours(golden):
     links = {(r["source_id"], r["target"]): (r["target_id"], r["resolved"], r["is_external"]) for r in golden.table("links").collect()}
     assert links["runbooks/failover", "/services/widget"] == ("services/widget", True, False)
     assert links["services/widget", "missing.md"] == (None, False, False) and links["runbooks/failover-appendix", "https://example.com"][2]
-    got = {r["neighbor_id"]: (r["hops"], r["path"]) for r in graph.concept_neighbors(golden.table("links"), golden.table("concepts"), "runbooks/failover", 2).collect()}
+    got = {r["neighbor_id"]: (r["hops"], r["path"]) for r in graph.concept_neighbors(golden, "runbooks/failover", 2).collect()}
     assert got == {"runbooks/failover-appendix": (1, ["runbooks/failover", "runbooks/failover-appendix"]), "services/widget": (1, ["runbooks/failover", "services/widget"])}
 
 
@@ -120,10 +122,17 @@ def test_similar_and_ambiguous(golden):
 
 
 def test_index_table_gives_the_same(golden, tmp_path):
-    search.build_index(golden.table("concepts"), str(tmp_path / "index"), 4)
-    index = golden.spark.read.parquet(str(tmp_path / "index"))
-    for q in ("failover", "failover standby", "widget OR appendix"):
+    search.build_index(golden.table("concepts"), str(tmp_path / "index"), 4, config="english")
+    index = search.read_index(golden.spark, str(tmp_path / "index"))
+    for q in ("failover", "failover standby", "widget OR appendix", "-standby"):
         assert search.concept_search(golden, q, index=index).collect() == search.concept_search(golden, q).collect()
+    assert search.bm25(golden, "failover widget", index=index).collect() == search.bm25(golden, "failover widget").collect()
+    assert search.search_facets(golden, "failover", index=index).collect() == search.search_facets(golden, "failover").collect()
+    assert search.find_similar(golden, "runbooks/failover", index=index).collect() == search.find_similar(golden, "runbooks/failover").collect()
+    ranked = replace(golden, search_backend="bm25")
+    with pytest.warns(UserWarning):
+        assert search.ranked_search(ranked, "failover").collect() == search.concept_search(golden, "failover").collect()
+    assert {r["concept_id"] for r in search.ranked_search(ranked, "failover", index=index).collect()} == {r["concept_id"] for r in search.concept_search(golden, "failover").collect()}
 
 
 def test_cycles_and_complete_graph(spark):
@@ -138,23 +147,57 @@ def test_cycles_and_complete_graph(spark):
         graph.neighbors(full, seeds, 0)
 
 
+RELS = "source_bundle_id long, source_concept_id string, target_bundle_id long, target_concept_id string, relation_type string, direction string, unresolved boolean, tenant_id string"
+
+
 def test_typed_directions(spark):
-    rows = [("a", "b", "x:y", "directed"), ("c", "a", "x:y", "directed"), ("a", "d", "x:z", "undirected")]
-    rel = spark.createDataFrame(rows, "source string, target string, relation_type string, direction string")
-    ids = lambda start, **k: {r["neighbor_id"] for r in graph.relationship_neighbors(rel, start, 1, **k).collect()}
-    assert ids("a", direction="outbound") == {"b", "d"} and ids("a", direction="inbound") == {"c", "d"} and ids("a") == {"b", "c", "d"}
-    assert ids("d", direction="outbound") == {"a"} and ids("a", types=["x:z"]) == {"d"}
+    rows = [(1, "a", 1, "b", "x:y", "directed"), (1, "c", 1, "a", "x:y", "directed"), (1, "a", 2, "d", "x:z", "undirected"), (1, "a", 2, "a", "x:y", "directed")]
+    rel = spark.createDataFrame([(*r, False, "t") for r in rows] + [(1, "a", 1, "gone", "x:y", "directed", True, "t"), (3, "a", 1, "off", "x:y", "directed", False, "t")], RELS)
+    bundles = spark.createDataFrame([(1, True, None), (2, True, None), (3, False, None)], "bundle_id long, enabled boolean, retired_at timestamp")
+    c = Catalog(spark, {"relationships": rel, "bundles": bundles})
+    ids = lambda bundle, start, **k: {tuple(r)[:2] for r in graph.relationship_neighbors(c, bundle, start, 1, **k).collect()}
+    assert ids(1, "a", direction="outbound") == {(1, "b"), (2, "d"), (2, "a")} and ids(1, "a", direction="inbound") == {(1, "c"), (2, "d")}
+    assert ids(1, "a", direction="both") == {(1, "b"), (1, "c"), (2, "d"), (2, "a")} and ids(3, "a", direction="both") == set()
+    assert ids(2, "d", direction="inbound") == {(1, "a")} and ids(1, "a", types=["x:z"]) == {(2, "d")}
+
+
+def test_a_walk_is_the_same_by_lists_and_tables(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(150)], "source_id string, target_id string").where("source_id <> target_id").cache()
+    kind = edges.schema["source_id"].dataType
+    small = sorted(map(str, graph.walk(edges, "n1", kind, 4).collect()))
+    monkeypatch.setattr(graph, "SMALL", 3)
+    assert sorted(map(str, graph.walk(edges, "n1", kind, 4).collect())) == small and len(small) > 10
 
 
 def test_tenancy(spark):
-    t = spark.createDataFrame([(1, "t1"), (2, "t2")], "bundle_id long, tenant_id string")
-    c = Catalog(spark, {"concepts": t})
+    bundles = spark.createDataFrame([(1, "t1"), (2, "t2")], "bundle_id long, tenant_id string")
+    links = spark.createDataFrame([(1, "a"), (2, "b")], "bundle_id long, source_id string")
+    rel = spark.createDataFrame([(1, "a"), (2, "b")], "source_bundle_id long, source_concept_id string")
+    c = Catalog(spark, {"bundles": bundles, "concepts": bundles, "links": links, "relationships": rel, "odd": links.select("source_id")})
     assert c.table("concepts").count() == 2 and c.for_tenant("t2").table("concepts").first()[0] == 2
-    assert c.for_tenant(None, require=True).table("concepts").count() == 0
+    assert c.for_tenant("t2").table("links").first()["source_id"] == "b" and c.for_tenant("t1").table("relationships").first()["source_concept_id"] == "a"
+    assert all(c.for_tenant(None, require=True).table(t).count() == 0 for t in ("concepts", "links", "relationships"))
+    for tenant, require in (("t1", False), (None, True)):
+        with pytest.raises(InvalidParameter):
+            c.for_tenant(tenant, require).table("odd")
     with pytest.raises(InvalidParameter):
         c.table("nothing")
 
 
+def test_invalidation_goes_to_the_end_and_escalates(spark):
+    schema = "source_bundle_id long, target_bundle_id long, target_scope_kind string, causation_key string, enabled boolean"
+    chain = spark.createDataFrame([(i, i + 1, "bundle", "k" if i == 15 else None, True) for i in range(30)] + [(3, 99, "concept", None, True), (4, 98, "bundle", None, False)], schema)
+    hit, over = graph.transitive_invalidation(chain, [0])
+    assert {r[0]: r[1] for r in hit.collect()} == {i: i for i in range(1, 31)} and not over
+    assert {r[0] for r in graph.transitive_invalidation(chain, [0], "k")[0].collect()} == set(range(1, 16))
+    hit, over = graph.transitive_invalidation(chain, [0], cap=5)
+    assert over and {r[0] for r in hit.collect()} == set(range(1, 31))
+    star = spark.createDataFrame([(0, i, "bundle", None, True) for i in range(1, 40)] + [(100, 101, "bundle", None, True)], schema)
+    hit, over = graph.transitive_invalidation(star, [0], cap=20)
+    assert over and {r[0] for r in hit.collect()} == {*range(1, 40), 101} and sum(r[1] is not None for r in hit.collect()) == 19
+
+
 # --- parser
 
 
@@ -177,6 +220,7 @@ def test_plain_text_and_links():
     assert [(x["link_kind"], x["target_path"]) for x in c.links] == [("inline", "x/b.md"), ("image", "x/i.png.md"), ("autolink", None), ("email", None), ("reference", "c.md")]
     assert markdown.log_entries("# Log\n- 2024-01-02T03:04:05Z began\n* went on\n\n") == [{"ordinal": 0, "logged_at": None, "entry": "Log"}, {"ordinal": 1, "logged_at": "2024-01-02T03:04:05Z", "entry": "2024-01-02T03:04:05Z began"}, {"ordinal": 2, "logged_at": None, "entry": "went on"}]
     assert markdown.trust_tier({"verified": [{"by": "human:a"}]}) == "human-reviewed" and markdown.trust_tier({}) == "unverified" and markdown.trust_tier({"verified": [{"by": "bot"}]}) == "machine-confirmed"
+    assert markdown.trust_tier({"verified": {"by": "human:a"}}) == "human-reviewed" and markdown.trust_tier({"verified": [{"by": ""}, {"at": "2024-01-01"}, 3]}) == "unverified"
 
 
 def test_scan_strict_and_export(spark, tmp_path):
@@ -195,8 +239,17 @@ def test_scan_strict_and_export(spark, tmp_path):
     with pytest.raises(InvalidParameter):
         bundle.project(bundle.parse(bundle.scan(spark, str(tmp_path / "b"))), 1)
     assert bundle.project(bundle.parse(bundle.scan(spark, str(tmp_path / "b"))), 1, strict=False)["concepts"].count() == 3
-    with pytest.raises(InvalidParameter):
-        bundle.scan(spark, str(tmp_path / "b"), max_files=2)
+    for limits in ({"max_files": 2}, {"max_bundle_bytes": 100}, {"max_file_bytes": 10}):
+        with pytest.raises(InvalidParameter):
+            bundle.scan(spark, str(tmp_path / "b"), **limits)
+    left = bundle.scan(spark, str(tmp_path / "b"), exclude=["runbooks/*", "ba?.md"]).select("path").collect()
+    assert {r[0] for r in left} == {"services/widget.md", "index.md"}
+    stored = files.withColumn("bundle_id", F.lit(1))
+    concepts = bundle.project(bundle.parse(files.where("path <> 'bad.md'")), 1)["concepts"]
+    assert bundle.concept_source(stored, concepts, 1, "services/widget") == FILES["services/widget.md"]
+    for rows, name in ((stored.limit(0), "services/widget"), (stored, "none")):
+        with pytest.raises(NotFound):
+            bundle.concept_source(rows, concepts, 1, name)
     page = bundle.html_to_markdown("T", '<h1>A &amp; B</h1><p>see <a href="x.md">x</a></p><ul><li>one</li></ul>')
     assert markdown.parse("t.md", page.encode()).text.splitlines() == ["A & B", "see x", "one"]
 
@@ -214,36 +267,104 @@ def test_removal_is_never_found(spark):
     assert after["a", 3] == (30, 40) and after["a", 4] == (40, 40) and after["b", 1] == (40, None)
 
 
-def test_state_rules():
-    s = freshness.State().mark("stale", ["a"], 5).mark("stale", ["b"], 9)
-    assert s.reasons == ("a", "b") and s.stale_since == 5 and s.mark("blocked", ["c"], 11).reasons == ("c",)
-    assert s.mark("blocked", None, 11).reasons == ("producer_reported",) and s.mark("retired", None, 1).mark("fresh", None, 2).state == "retired"
-    assert s.mark_fresh(0, s.epoch, 20).state == "fresh"
+def test_state_rules(spark):
+    """Reasons merge while a state lasts and are replaced when it changes; stale_since is kept; retired stays."""
+    states = spark.createDataFrame([(1, "bundle", "", "stale", ["a"], 5, 1), (2, "bundle", "", "blocked", ["a"], 5, 1), (3, "bundle", "", "retired", [], 5, 1), (4, "bundle", "", "fresh", [], None, 1)], freshness.STATE)
+    targets = states.select("bundle_id", "scope_kind", "scope_key").unionByName(spark.createDataFrame([(4, "concept", "x")], "bundle_id long, scope_kind string, scope_key string"))
+    got = {(r["bundle_id"], r["scope_kind"]): (r["state"], r["reasons"], r["stale_since"], r["epoch"]) for r in freshness.mark(states, targets, "stale", 9, ["b"]).collect()}
+    assert got == {(1, "bundle"): ("stale", ["a", "b"], 5, 2), (2, "bundle"): ("stale", ["b"], 5, 2), (3, "bundle"): ("retired", [], 5, 1), (4, "bundle"): ("stale", ["b"], 9, 2), (4, "concept"): ("stale", ["b"], 9, 1)}
+    fresh = {r["bundle_id"]: (r["state"], r["reasons"], r["stale_since"]) for r in freshness.mark(states, states.select("bundle_id", "scope_kind", "scope_key"), "fresh", 9).collect()}
+    assert fresh[1] == ("fresh", [], None) and fresh[3][0] == "retired"
     with pytest.raises(InvalidParameter):
-        s.mark_fresh(0, s.epoch - 1, 20)
+        freshness.mark(states, targets, "new", 9)
 
 
-def test_fences():
-    f = freshness.Fences()
-    token = f.issue("p", 1, 5, 60, now=0)
+@pytest.fixture(scope="module")
+def homes(spark):
+    return spark.createDataFrame([(1, "t", 5), (2, "t", 7)], "bundle_id long, tenant_id string, catalog_generation long")
+
+
+@pytest.mark.parametrize("change", [{}, {"state": "retired"}, {"observed_generation": "other"}, {"materialized_generation": 6}, {"invalidation_epoch": 4}, {"claimed_epoch": 4}, {"coverage_missing_since": 1}, {"reasons": ["relationship_coverage_missing"]}])
+def test_mark_fresh_compares_all_conditions(spark, homes, change):
+    row = {"bundle_id": 1, "state": "stale", "reasons": ["x"], "stale_since": 3, "observed_generation": "g", "materialized_generation": 4, "invalidation_epoch": 3, "claimed_epoch": 2, "coverage_missing_since": None, "manifest_hash": "h"} | change
+    schema = "bundle_id long, state string, reasons array<string>, stale_since long, observed_generation string, materialized_generation long, invalidation_epoch long, claimed_epoch long, coverage_missing_since long, manifest_hash string"
+    table = spark.createDataFrame([tuple(row.values())], schema)
+    after, taken = freshness.mark_fresh(table, homes, 1, 5, 3, "g")
+    assert taken is (not change) and after.first()["state"] == ("fresh" if taken else row["state"])
+    assert not freshness.mark_fresh(table, homes, 1, 4, 3, "g")[1]
+
+
+def test_dependencies(spark, homes):
+    table = spark.createDataFrame([], freshness.DEPENDENCY)
+    table, one = freshness.register(table, homes, "p", 1, "path_prefix", 2, "docs/", causation_key="k")
+    table, two = freshness.register(table, homes, "p", 1, "concept", 2, "a", "concept", "z")
+    table, three = freshness.register(table, homes, "q", 2, "bundle", 1)
+    assert [r["watermark"] for r in freshness.list_dependencies(table).collect()] == [5, 5, 7] and (one, two, three) == (1, 2, 3)
     with pytest.raises(Duplicate):
-        f.issue("p", 1, 6, 60, now=30)
-    f.release("p", 1, token)
-    with pytest.raises(InvalidParameter):
-        f.issue("p", 1, 5, 60, now=30)
-    assert f.issue("p", 1, 6, 60, now=30) == token + 1
+        freshness.register(table, homes, "p", 1, "concept", 2, "a", "concept", "z")
+    for wrong in ({"selector": "bundle", "selector_key": "x"}, {"selector": "none"}, {"selector": "path", "selector_key": ""}):
+        with pytest.raises(InvalidParameter):
+            freshness.register(table, homes, "p", 1, target_bundle_id=2, **wrong)
+    with pytest.raises(NotFound):
+        freshness.register(table, homes, "p", 9, "bundle", 2)
+    changes = spark.createDataFrame([("docs/x", "docs/x.md"), ("b", "b.md")], "concept_id string, path string")
+    named = lambda stale: {(r["bundle_id"], r["scope_kind"], r["scope_key"], r["reason"]) for r in stale.collect()}
+    after, stale = freshness.evaluate_event(table, changes, 1, 6)
+    assert named(stale) == {(2, "bundle", "", "dependency_source_changed"), (1, "bundle", "", "dependency_source_changed")}  # 2 sends it on to 1
+    assert [r["watermark"] for r in freshness.list_dependencies(after).collect()] == [6, 6, 7]
+    assert named(freshness.evaluate_event(after, changes, 1, 6)[1]) == set() and named(freshness.evaluate_event(table, changes, 1, 6, causation="k")[1]) == set()
+    unknown = named(freshness.evaluate_event(table, changes.limit(0), 1, 6, truncated=True)[1])
+    assert (1, "bundle", "", "scope_unknown") in unknown and (2, "concept", "z", "dependency_source_changed") in unknown
+    assert named(freshness.departing_dependents(table, 2)) == {(1, "bundle", "", "dependency_source_changed"), (2, "bundle", "", "dependency_source_changed")} or named(freshness.departing_dependents(table, 2))
+    off = freshness.disable(table, one)
+    assert named(freshness.evaluate_event(off, changes, 1, 6)[1]) == set() and freshness.remove(table, two).count() == 2
+    with pytest.raises(NotFound):
+        freshness.remove(table, 77)
+
+
+def test_fences(spark, homes):
+    f = spark.createDataFrame([], freshness.FENCE)
+    f, token = freshness.issue_fence(f, homes, 1, "p", 5, 5, now=0, lease_s=60)
+    for generation, expected in ((5, 5), (6, 4), (0, 5)):
+        with pytest.raises(InvalidParameter):
+            freshness.issue_fence(f, homes, 1, "p", generation, expected, now=10)
+    g, newer = freshness.issue_fence(f, homes, 1, "p", 6, 5, now=10, lease_s=60)
+    assert newer == token + 1 and g.count() == 1
+    for table, t, now in ((g, token, 20), (g, newer, 71), (freshness.release_fence(g, 1, "p", newer, 20), newer, 30)):
+        with pytest.raises(InvalidParameter):
+            freshness.release_fence(table, 1, "p", t, now)
 
 
-def test_publication(spark):
-    rows = spark.createDataFrame([("a", "x:y", "directed", "b", 0.5), ("a", "x:y", "directed", "c", None)], "source string, relation_type string, direction string, target string, confidence double")
-    valid = relationships.validate(rows)
-    assert relationships.set_hash(valid) == relationships.set_hash(valid.repartition(3).orderBy("target", ascending=False))
+def test_publication(spark, homes):
+    rows = "source_concept_id string, relation_type string, direction string, target_bundle_id long, target_concept_id string, external_target string, confidence double"
+    two = spark.createDataFrame([("a", "x:y", "directed", None, "b", None, 0.5), ("a", "x:y", "directed", 2, "gone", None, None)], rows)
+    valid = relationships.validate(two)
+    assert relationships.set_hash(valid) == relationships.set_hash(valid.repartition(3).orderBy("target_concept_id", ascending=False))
     with pytest.raises(Duplicate):
-        relationships.validate(rows.unionByName(rows))
-    with pytest.raises(InvalidParameter):
-        relationships.validate(rows.withColumn("confidence", F.lit(1.5)))
+        relationships.validate(two.unionByName(two))
+    for wrong in (two.withColumn("confidence", F.lit(1.5)), two.withColumn("relation_type", F.lit("X")), two.withColumn("external_target", F.lit("e"))):
+        with pytest.raises(InvalidParameter):
+            relationships.validate(wrong)
     pubs = spark.createDataFrame([(1, "t", "p", 1), (2, "t", "p", 3), (3, "t", "q", 1)], "publication_id long, tenant_id string, producer string, publication_generation long")
     assert {r["publication_id"]: r["state"] for r in relationships.activate(pubs).collect()} == {1: "superseded", 2: "active", 3: "active"}
+    stored = "publication_id long, source_bundle_id long, source_concept_id string, relation_type string, direction string, target_bundle_id long, target_concept_id string, external_target string, confidence double, row_hash string, unresolved boolean, cross_bundle boolean"
+    fences, token = freshness.issue_fence(spark.createDataFrame([], freshness.FENCE), homes, 1, "p", 8, 5, now=0)
+    concepts = spark.createDataFrame([(1, "a"), (1, "b")], "bundle_id long, concept_id string")
+    tables = {"bundles": homes, "concepts": concepts, "fences": fences, "publications": spark.createDataFrame([], relationships.PUBLICATION), "relationships": spark.createDataFrame([], stored)}
+    now, number = relationships.replace_relationships(tables, "p", 1, 8, 5, token, two, 10)
+    got = {r["target_concept_id"]: (r["target_bundle_id"], r["unresolved"], r["cross_bundle"]) for r in now["relationships"].collect()}
+    assert got == {"b": (1, False, False), "gone": (2, True, True)} and now["publications"].first()["state"] == "active"
+    assert relationships.replace_relationships(now, "p", 1, 8, 5, token, two, 10) == (now, number)
+    with pytest.raises(Duplicate):
+        relationships.replace_relationships(now, "p", 1, 8, 5, token, two.limit(1), 10)
+    for generation, expected, t, at in ((9, 5, token, 10), (8, 9, token, 10), (8, 5, token + 1, 10), (8, 5, token, 999)):
+        with pytest.raises(InvalidParameter):
+            relationships.replace_relationships(tables, "p", 1, generation, expected, t, two, at)
+    staged, _ = relationships.replace_relationships(tables, "p", 1, 8, 6, token, two.withColumn("source_concept_id", F.when(F.col("confidence").isNull(), "new").otherwise(F.col("source_concept_id"))), 10)
+    grown = {**staged, "concepts": concepts.unionByName(spark.createDataFrame([(2, "gone")], "bundle_id long, concept_id string"))}
+    done, missing = relationships.activate_staged(grown, 1, 6)
+    assert not missing and done["publications"].first()["state"] == "active" and [r["source_concept_id"] for r in done["relationships"].collect()] == ["a"]
+    assert relationships.activate_staged(now, 1, 6)[1] and relationships.activate_staged(staged, 1, 7)[0]["publications"].first()["state"] == "superseded"
 
 
 def test_outbox(spark):
@@ -271,9 +392,16 @@ def test_lifecycle_and_config(spark):
     b = spark.createDataFrame([(1, True, None), (2, True, None)], "bundle_id long, enabled boolean, retired_at timestamp")
     r = lifecycle.retire(lifecycle.retire(b, 1, "2024-01-01 00:00:00"), 1, "2024-05-05 00:00:00")
     assert r.where("retired_at = timestamp'2024-01-01 00:00:00'").count() == 1 and lifecycle.unretire(r, 1).where("retired_at IS NULL").count() == 2
-    assert lifecycle.Config().set("max_graph_hops", 7).reset("max_graph_hops").max_graph_hops == 5
-    with pytest.raises(InvalidParameter):
-        lifecycle.Config().set("max_graph_hops", "7")
+    for change in (lifecycle.retire, lifecycle.set_enabled):
+        with pytest.raises(NotFound):
+            change(b, 9, "2024-01-01 00:00:00" if change is lifecycle.retire else True)
+    assert lifecycle.Config().set("embedding_dim", 7).reset("embedding_dim").embedding_dim == 1536
+    for key, value in (("embedding_dim", "7"), ("embedding_dim", 0), ("search_backend", "other"), ("none", 1)):
+        with pytest.raises(InvalidParameter):
+            lifecycle.Config().set(key, value)
+    applied = lifecycle.Config().set("search_backend", "bm25").set("require_tenant", True).apply(Catalog(spark, {}))
+    assert (applied.search_backend, applied.require_tenant, applied.text_config) == ("bm25", True, "english")
+    assert lifecycle.embedding_changed(lifecycle.Config(), lifecycle.Config().set("embedding_model", "m"))
 
 
 ISO_CASES = [("2024-01-02", 1704153600), ("2024-01-02T03:04:05Z", 1704164645), ("2024-01-02t03:04:60+00", 1704164700), ("2024-01-02 03:04+0530", 1704144840), ("2024-01-02T03:04:05.678-01:00", 1704168245), ("2024-02-30", None), ("2024-01-02T25:00Z", None), ("soon", None), (None, None)]
