@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, functions as F
@@ -85,6 +86,8 @@ class Config:
             raise InvalidParameter(f"{key} must be one of {CHOICES[key]}, not {value!r}")
         if key == "embedding_dim" and not 1 <= value <= 16000:
             raise InvalidParameter("embedding_dim must be from 1 to 16000")
+        if key == "notify_channel" and not re.fullmatch(r"([A-Za-z_][A-Za-z0-9_]{0,62})?", value):
+            raise InvalidParameter("notify_channel must be an identifier of at most 63 characters, or empty")
         return replace(self, **{key: value})
 
     def reset(self, key: str | None = None) -> Config:

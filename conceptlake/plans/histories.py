@@ -8,7 +8,9 @@ from conceptlake.catalog import Catalog
 from conceptlake.operators import freshness, search, temporal
 from conceptlake.plans import oracle as o
 from conceptlake.plans.register import AT_US, KEY, query
+from conceptlake.sources import wiki
 from conceptlake.sources.testdata import read
+from conceptlake.streaming import outbox
 
 # An open end is shown as -1.
 _SHOWN = "concept_id, version, valid_from, coalesce(valid_to, -1) AS valid_to, change_kind, title"
@@ -47,6 +49,43 @@ SYNC_SQL = """(SELECT coalesce(a.path, b.path) AS path, was, i, a.concept_id AS
 query("sync_diff", f"SELECT path, change, was AS before_hash, i AS after_hash FROM {SYNC_SQL}", lambda c: temporal.sync_diff(*synced(c)))
 
 
+def event(c: Catalog) -> DataFrame:
+    context = outbox.Context.of({"operation": "put_document", "causation_key": "k1", "producer": "writer"})
+    return outbox.sync_event(temporal.sync_diff(*synced(c)), 9, 2, AT_US, context)
+
+
+_COUNTS = [f"count(*) FILTER (change {x})" for x in ("= 'added'", "= 'updated'", "= 'removed'", "<> 'removed'")]
+query(
+    "sync_event",
+    f"""SELECT CAST(9 AS BIGINT) AS event_id, CAST(2 AS BIGINT) AS bundle_id, 'put_document' AS operation, CAST({AT_US} AS BIGINT) AS at_us, 'k1' AS causation, 'writer' AS producer,
+  {_COUNTS[0]} AS added, {_COUNTS[1]} AS updated, {_COUNTS[2]} AS removed, {_COUNTS[3]} AS total FROM {SYNC_SQL}""",
+    lambda c: event(c).select("event_id", "bundle_id", "operation", "at_us", "causation", "producer", "added", "updated", "removed", "total"),
+)
+query(
+    "change_notification",
+    f"""SELECT 'catalog' AS channel, '{{"bundle_id":2,"op":"put_document","added":' || {_COUNTS[0]} || ',"updated":' || {_COUNTS[1]} || ',"removed":' || {_COUNTS[2]} || ',"total":' || {_COUNTS[3]} || ',"event_id":9}}' AS payload
+FROM {SYNC_SQL}""",
+    lambda c: outbox.notifications(event(c), "catalog"),
+)
+
+
+def wiki_changes(c: Catalog, sf_dir: str) -> DataFrame:
+    """The pages at hand against a checkpoint that has the documents' ids and bytes."""
+    table = lambda name, key, text, version: read(c.spark, sf_dir, name).select(F.col(key).cast("string").alias("page_id"), wiki.path_of(F.col(key).cast("string")).alias("path"), F.lit(version).cast("long").alias("version"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("file_hash"))
+    now, before = wiki.snapshot(table("pages", "page_id", "html", 2)), wiki.snapshot(table("documents", "doc_id", "text", 1))
+    wiki.check(now, before)
+    return wiki.changes(now, before)
+
+
+query(
+    "wiki_changes",
+    """WITH now AS (SELECT page_id, sha256(coalesce(html, '')) AS h FROM pages), was AS (SELECT doc_id AS page_id, sha256(coalesce(text, '')) AS g FROM documents)
+SELECT CAST(page_id AS VARCHAR) AS page_id, 'pages/' || page_id || '.md' AS path, CASE WHEN g IS NULL THEN 'added' WHEN h IS NULL THEN 'removed' WHEN g = h THEN 'unchanged' ELSE 'updated' END AS change
+FROM now FULL JOIN was USING (page_id)""",
+    wiki_changes,
+)
+
+
 def manifest(c: Catalog) -> DataFrame:
     stored, found = synced(c)
     ids = stored.select("path", F.col("concept_id").alias("id_was")).join(found.select("path", F.col("concept_id").alias("id_is")), "path", "full_outer")

@@ -2,14 +2,75 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from conceptlake.errors import Duplicate, NotFound, bounded
+from conceptlake.errors import Duplicate, InvalidParameter, NotFound, bounded
 
 EVENT = "event_id long, bundle_id long, operation string, concept_id string, at_us long, causation string"
+#: The operations that a producer may name.
+OPERATIONS = ("refresh_bundle", "put_document", "delete_document", "concept_change")
+
+
+@dataclass(frozen=True)
+class Context:
+    """What a producer says about a change: an event carries it. ``causation_key`` keeps dependencies that were registered
+    with the same key from being triggered again."""
+
+    origin: str | None = None
+    causation_key: str | None = None
+    reconciliation_key: str | None = None
+    producer: str | None = None
+    manifest_hash: str | None = None
+    observed_source_generation: str | None = None
+    operation: str | None = None
+
+    @classmethod
+    def of(cls, raw: str | dict | None) -> Context:
+        """From a JSON object, or its text; other keys are passed over, and what is no text is its JSON. Blank: none."""
+        if raw is None or (isinstance(raw, str) and not raw.strip()):
+            return cls()
+        try:
+            given = json.loads(raw) if isinstance(raw, str) else raw
+        except json.JSONDecodeError as e:
+            raise InvalidParameter(f"the context is not JSON: {e}") from e
+        if not isinstance(given, dict):
+            raise InvalidParameter("the context must be a JSON object")
+        said = {k: given[k] for k in cls.__dataclass_fields__ if given.get(k) is not None}
+        out = cls(**{k: v if isinstance(v, str) else json.dumps(v) for k, v in said.items()})
+        if out.operation is not None and out.operation not in OPERATIONS:
+            raise InvalidParameter(f"the context's operation must be one of {OPERATIONS}, not {out.operation!r}")
+        return out
+
+
+def sync_event(diff: DataFrame, event_id: int, bundle_id: int, at_us: int, context: Context | None = None) -> DataFrame:
+    """The one event of a sync: its context, how many files were added, updated and removed, and how many there are now.
+
+    ``diff`` has a row a file with its ``change``; one aggregation with map-side counts.
+    """
+    context = context or Context()
+    counts = [F.count(F.when(F.col("change") == c, 1)).alias(c) for c in ("added", "updated", "removed")]
+    total = F.count(F.when(F.col("change") != "removed", 1)).alias("total")
+    said = {k: v for k, v in asdict(context).items() if k not in ("operation", "causation_key")}
+    text = lambda v: F.lit(v).cast("string")
+    head = [F.lit(event_id).cast("long").alias("event_id"), F.lit(bundle_id).cast("long").alias("bundle_id"), text(context.operation or OPERATIONS[0]).alias("operation"), text(None).alias("concept_id"), F.lit(at_us).cast("long").alias("at_us"), text(context.causation_key).alias("causation")]
+    return diff.agg(*counts, total).select(*head, *[text(v).alias(k) for k, v in said.items()], "added", "updated", "removed", "total")
+
+
+def notifications(events: DataFrame, channel: str) -> DataFrame:
+    """(channel, payload) for events of syncs: a hint to look into the outbox, as JSON. Without a channel there are none."""
+    payload = F.to_json(F.struct("bundle_id", F.col("operation").alias("op"), "added", "updated", "removed", "total", "event_id"))
+    rows = events.select(F.lit(channel).alias("channel"), payload.alias("payload"))
+    return rows if channel else rows.where(F.lit(False))
+
+
+def notify(stream: DataFrame, channel: str, send: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Give ``send`` the notifications of each micro-batch (to write to a topic, a folder or a webhook)."""
+    return deliver(notifications(stream, channel), send, checkpoint, once)
 
 
 def append(events: DataFrame, path: str) -> None:

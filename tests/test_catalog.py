@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from conceptlake.catalog import Catalog
 from conceptlake.errors import Ambiguous, Duplicate, InvalidParameter, NotFound
 from conceptlake.functions import tsquery
-from conceptlake.operators import embeddings, freshness, graph, lifecycle, packages, provenance, relationships, search, temporal, workspace
-from conceptlake.sources import bundle, markdown, normalize
+from conceptlake.operators import documents, embeddings, freshness, graph, lifecycle, packages, provenance, relationships, search, temporal, workspace
+from conceptlake.sources import bundle, markdown, normalize, wiki
 from conceptlake.streaming import outbox
 
 
@@ -449,3 +449,91 @@ def test_queries_never_fail_on_punctuation(text):
     if text.strip():
         tsquery.parse(text)
     assert json.loads(search.encode_cursor(1.5, 2, text))["concept_id"] == text
+
+
+# --- edits, the wiki as a source, what producers say
+
+
+def test_edits_of_documents():
+    claimed = {"type": "T", "verified": {"by": "human:x"}, "superseded_verifications": "typed"}
+    made, n = documents.new(claimed, "agent:a", "t1")
+    assert n == 1 and "verified" not in made and made["generated"] == {"by": "agent:a", "at": "t1"} and made["author"] == "agent:a"
+    assert made["superseded_verifications"] == [{"by": "human:x", "superseded_by": "agent:a", "superseded_at": "t1", "reason": "uploaded"}]
+    assert claimed["verified"] == {"by": "human:x"}
+    for front in ({"author": "human:b"}, {"generated": {"by": " human:b "}}):
+        with pytest.raises(InvalidParameter):
+            documents.new(front, "agent:a", "t1")
+        assert documents.new(front, "human:c", "t1")[1] == 0
+    stored = documents.verified({"type": "T", "status": "draft"}, "human:r", "t2", " fine ")
+    assert stored["status"] == "active" and stored["verified"] == [{"by": "human:r", "at": "t2", "note": "fine"}]
+    assert documents.verified({"status": "retired"}, "human:r", "t2")["status"] == "retired"
+    again, n = documents.edited({"type": "T", "generated": "human:q"}, "agent:a", "t3", stored)
+    assert n == 1 and again["superseded_verifications"][0]["by"] == "human:r" and again["generated"]["by"] == "agent:a"
+    assert documents.edited({**again, "superseded_verifications": []}, "agent:a", "t4", again)[0]["superseded_verifications"] == again["superseded_verifications"]
+    back = documents.returned(stored, "human:s", "t5", "no")
+    assert back["status"] == "draft" and back["reviews"] == [{"by": "human:s", "at": "t5", "outcome": "sent-back", "note": "no"}]
+    front = {"type": "T", "title": "é: x", "at": "2024-01-02T03:04:05Z", "n": 3}
+    assert documents.read(documents.write(front, "body\n---\n")) == (front, "body\n---\n")
+
+
+def test_contributions_are_files(spark):
+    stored = bundle.from_memory(spark, ["a.md", "broken.md"], [doc("A", "old", more="verified: [{by: 'human:r', at: 2024-01-02}]\n"), b"no frontmatter"])
+    uploads = bundle.from_memory(spark, ["a.md", "broken.md", "new.md", "bad.md", "other.md"], [doc("A", "now"), doc("B", "now", more="verified: yes\n"), doc("N", "x"), b"nothing", doc("O", "x", more="author: human:z\n")])
+    got = {r["path"]: r for r in documents.contribute(uploads, stored, "agent:a", "2024-02-03").collect()}
+    assert len(got) == 5 and {p: r["set_aside"] for p, r in got.items()} == {"a.md": 1, "broken.md": 1, "new.md": 0, "bad.md": 0, "other.md": 0}
+    assert {p for p, r in got.items() if r["error"]} == {"bad.md", "other.md"} and bytes(got["bad.md"]["content"]) == b"nothing"
+    made = markdown.parse("a.md", bytes(got["a.md"]["content"]))
+    assert made.trust_tier == "unverified" and made.text == "now" and "human:r" in made.metadata["superseded_verifications"]
+    files = spark.createDataFrame([(p, r["content"]) for p, r in got.items() if p == "a.md"], "path string, content binary")
+    after = documents.verify(files, "human:r", "2024-02-04")
+    assert markdown.parse("a.md", bytes(after.first()["content"])).trust_tier == "human-reviewed"
+    sent = documents.send_back(files, "human:r", "2024-02-04", "why").first()
+    assert documents.read(bytes(sent["content"]))[0]["status"] == "draft" and sent["error"] is None
+
+
+def test_wiki_snapshots(spark, tmp_path):
+    schema = "page_id string, version long, title string, html string"
+    first = wiki.documents(spark.createDataFrame([("1", 1, "One", "<p>a</p>"), ("2", 3, "Two", "<p>b</p>"), ("3", 1, None, None)], schema)).cache()
+    assert markdown.parse("pages/1.md", bytes(first.where("page_id = '1'").first()["content"])).text == "a"
+    me, path = wiki.Identity("space", "wiki", "t1"), str(tmp_path / "kept")
+    assert wiki.read_checkpoint(spark, path, me) is None and wiki.removed_ids(first, None).isEmpty()
+    wiki.write_checkpoint(wiki.snapshot(first), path, me)
+    (tmp_path / "kept" / "000000000002").mkdir()  # a write that failed half-way
+    before = wiki.read_checkpoint(spark, path, me)
+    now = wiki.snapshot(wiki.documents(spark.createDataFrame([("1", 1, "One", "<p>a</p>"), ("2", 4, "Two", "<p>c</p>"), ("4", 1, "Four", "")], schema)))
+    wiki.check(now, before)
+    assert {(r["path"], r["change"]) for r in wiki.changes(now, before).collect()} == {("pages/1.md", "unchanged"), ("pages/2.md", "updated"), ("pages/3.md", "removed"), ("pages/4.md", "added")}
+    assert [r[0] for r in wiki.removed_ids(now, before).collect()] == ["3"] and wiki.changes(now, None).where("change <> 'added'").isEmpty()
+    wiki.write_checkpoint(now, path, me)
+    with pytest.raises(InvalidParameter):
+        wiki.check(before, wiki.read_checkpoint(spark, path, me))
+    with pytest.raises(InvalidParameter):
+        wiki.read_checkpoint(spark, path, wiki.Identity("space", "wiki", "t2"))
+    for rows in ([], [("x", 1, "", "")], [("1", 0, "", "")], [(None, 1, "", "")], [("1", 1, "", ""), ("1", 2, "", "")]):
+        with pytest.raises(InvalidParameter):
+            wiki.snapshot(wiki.documents(spark.createDataFrame(rows, schema)))
+    with pytest.raises(InvalidParameter):
+        wiki.Identity("space", " ", "t1")
+
+
+def test_contexts_and_notifications(spark, tmp_path):
+    assert outbox.Context.of(None) == outbox.Context.of("  ") == outbox.Context()
+    said = outbox.Context.of('{"operation": "delete_document", "origin": "web", "observed_source_generation": 7, "else": 1, "producer": null}')
+    assert said == outbox.Context(origin="web", observed_source_generation="7", operation="delete_document")
+    for raw in ("[1]", "{", '{"operation": "drop"}', '"text"'):
+        with pytest.raises(InvalidParameter):
+            outbox.Context.of(raw)
+    diff = spark.createDataFrame([("a", "added"), ("b", "removed"), ("c", "unchanged")], "path string, change string")
+    plain = outbox.sync_event(diff, 5, 1, 10).first()
+    assert (plain["operation"], plain["causation"], plain["added"], plain["updated"], plain["removed"], plain["total"]) == ("refresh_bundle", None, 1, 0, 1, 2)
+    event = outbox.sync_event(diff, 5, 1, 10, said)
+    assert event.first()["origin"] == "web" and outbox.notifications(event, "").isEmpty()
+    event.write.parquet(str(tmp_path / "events"))
+    sent = []
+    stream = spark.readStream.schema(event.schema).parquet(str(tmp_path / "events"))
+    outbox.notify(stream, "changed", lambda rows, _: sent.extend(rows.collect()), str(tmp_path / "at")).awaitTermination()
+    assert [(r["channel"], json.loads(r["payload"])) for r in sent] == [("changed", {"bundle_id": 1, "op": "delete_document", "added": 1, "updated": 0, "removed": 1, "total": 2, "event_id": 5})]
+    assert lifecycle.Config().set("notify_channel", "_changed1").notify_channel == "_changed1"
+    for name in ("1x", "a-b", "x" * 64):
+        with pytest.raises(InvalidParameter):
+            lifecycle.Config().set("notify_channel", name)
