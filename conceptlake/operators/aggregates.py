@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from conceptlake.catalog import Catalog
 from conceptlake.errors import bounded
@@ -120,38 +122,49 @@ def page_with_total(df: DataFrame, order: list, limit: int) -> DataFrame:
     return df.orderBy(*order).limit(limit).crossJoin(F.broadcast(total))
 
 
-def digest(rows: DataFrame, group: str, order: str, line: Column, head: Column | None = None) -> DataFrame:
-    """(group, digest): SHA-256 over ``head`` and the group's lines in order.
+def digest(rows: DataFrame, group: str, order: str | list[str], line: Column, head: Column | None = None, *, between: str = "", as_bytes: Callable[[Any], bytes] = str.encode, count: Column | None = None) -> DataFrame:
+    """(group, digest, n): SHA-256 over ``head`` and the group's lines in order, ``between`` between them; n is the sum of
+    ``count``, else the number of rows. A line that is null adds nothing, a head that is null gives no digest.
 
     A task streams its groups' sorted lines through the hash, so a group of any size takes constant memory; as one hash
-    asks, a group is in one task.
+    asks, a group is in one task. Rows are dealt by a hash of the group: by the group itself, a join on it below would stand
+    for this exchange, and AQE, which doesn't know what ``mapInArrow`` asks for, could then split or read it locally.
     """
     head = F.lit("") if head is None else head
     kind = rows.schema[group].dataType
-    lines = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), line.alias("line"), head.alias("head")).repartition("g").sortWithinPartitions("g", "o")
+    by = [f"o{i}" for i in range(len([order] if isinstance(order, str) else order))]
+    orders = [F.col(c).alias(o) for c, o in zip([order] if isinstance(order, str) else order, by, strict=True)]
+    lines = rows.select(F.col(group).alias("g"), *orders, line.alias("line"), head.alias("head"), (F.lit(1) if count is None else count).cast("long").alias("n"))
+    lines = lines.repartition(F.xxhash64("g")).sortWithinPartitions("g", *by)
+    schema = T.StructType([T.StructField(group, kind), T.StructField("digest", T.StringType()), T.StructField("n", T.LongType())])
+    gap = between.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, None
+        now, state, n, begun, opened = None, None, 0, False, False
         out: list[tuple] = []
         for batch in batches:
-            for g, text, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if state is None or g != now:
-                    if state is not None:
-                        out.append((now, state.hexdigest()))
-                    now, state = g, hashlib.sha256(first.encode())
-                state.update(text.encode())
-        if state is not None:
-            out.append((now, state.hexdigest()))
+            for g, text, first, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not opened or g != now:
+                    if opened:
+                        out.append((now, state and state.hexdigest(), n))
+                    now, state, n, begun, opened = g, None if first is None else hashlib.sha256(first.encode()), 0, False, True
+                n += more
+                if state is not None and text is not None:
+                    state.update((gap if begun else b"") + as_bytes(text))
+                    begun = True
+        if opened:
+            out.append((now, state and state.hexdigest(), n))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out]), pa.array([d for _, d in out])], names=[group, "digest"])
+            columns = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (to_arrow_type(kind), pa.string(), pa.int64()), strict=True)], names=[group, "digest", "n"])
 
-    return lines.select("g", "line", "head").mapInArrow(run, T.StructType([T.StructField(group, kind), T.StructField("digest", T.StringType())]))
+    return lines.select("g", "line", "head", "n").mapInArrow(run, schema)
 
 
 def sync_hash(catalog: Catalog) -> DataFrame:
     """Per bundle: the hash of its files, each path NUL file hash LF in path order; reserved files don't count."""
     files = catalog.table("concepts").where(~F.element_at(F.split("path", "/"), -1).isin("index.md", "log.md"))
-    return digest(files, "bundle_id", "path", F.concat("path", F.lit("\0"), "file_hash", F.lit("\n")))
+    return digest(files, "bundle_id", "path", F.concat("path", F.lit("\0"), "file_hash", F.lit("\n"))).drop("n")
 
 
 def capped_changes(changes: DataFrame, cap: int = 256) -> DataFrame:

@@ -73,8 +73,7 @@ def package_hash(classified: DataFrame, hashes: DataFrame) -> DataFrame:
     members = rows.join(manifest, "package")
     # The manifest itself adds no line; it keeps a package without members in the result.
     line = F.when(F.col("kind") == "manifest", "").otherwise(F.concat("role", F.lit("\0"), inner, F.lit("\0"), "file_hash", F.lit("\n")))
-    hashed = digest(members, "package", "path", line, F.col("head")).withColumnRenamed("digest", "package_hash")
-    return hashed.join(rows.groupBy("package").agg(F.count(F.lit(1)).alias("files")), "package")
+    return digest(members, "package", "path", line, F.col("head")).withColumnsRenamed({"digest": "package_hash", "n": "files"})
 
 
 def get_skill(classified: DataFrame, package: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 from dataclasses import replace
@@ -421,6 +422,33 @@ def test_packages(spark):
     assert got["a/references/index.md"] == ("a", "resource", "reference") and got["log.md"] == (None, "reserved", None) and got["a/b/scripts"] == ("a/b", "ignored", None)
 
 
+@pytest.fixture
+def late_broadcasts(spark):
+    """Joins are planned by shuffles, and become broadcasts when their sides turn out to be small."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    was = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("gone", [{}, {"p1/scripts/s3.py": None, "p2/SKILL.md": None}])
+def test_a_package_has_one_hash(spark, late_broadcasts, gone):
+    names = ["SKILL.md", *[f"scripts/s{i}.py" for i in range(30)]]
+    hashes = {f"p{k}/{name}": f"{k}.{i}" for k in range(20) for i, name in enumerate(names)} | gone
+    files = spark.createDataFrame(list(hashes.items()), "path string, file_hash string").repartition(8)
+    got = packages.package_hash(packages.classify(files.select("path")), files).collect()
+
+    def plain(package):
+        lines = [f"script\0{name}\0{hashes[f'{package}/{name}']}\n" for name in sorted(names[1:]) if hashes[f"{package}/{name}"]]
+        head = hashes[f"{package}/SKILL.md"]
+        return head and hashlib.sha256("".join([*packages.HASH_HEAD[:1], "\n1\n1\n", head, "\n", *lines]).encode()).hexdigest()
+
+    assert sorted((r["package"], r["package_hash"], r["files"]) for r in got) == sorted((f"p{k}", plain(f"p{k}"), 31) for k in range(20))
+
+
 def test_attested_computations(spark):
     concepts = spark.createDataFrame([(1, "x", "Attested Computation"), (1, "y", "Note")], "bundle_id long, concept_id string, type string")
     metadata = spark.createDataFrame([(1, "x", "computation", '"calc.md"'), (1, "x", "other", '"z"'), (1, "y", "attester", '"w"')], "bundle_id long, concept_id string, key string, value string")
