@@ -7,13 +7,19 @@ ones also have publication_id, source_bundle_id, unresolved, cross_bundle and ro
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from conceptlake.errors import Duplicate, InvalidParameter
+from conceptlake.operators.aggregates import digest
 from conceptlake.operators.freshness import bundle_row, live_fence
 
 MAX_ROWS = 50_000
+#: Row hashes that are put together: 4 KB.
+RUN = 128
 TYPE = re.compile(r"[a-z][a-z0-9_-]*:[a-z][a-z0-9_-]*")
 IDENTITY = ["source_concept_id", "relation_type", "direction", "target_bundle_id", "target_concept_id", "external_target"]
 PUBLICATION = """publication_id long, tenant_id string, producer string, source_bundle_id long, publication_generation long, expected_catalog_generation long,
@@ -83,12 +89,12 @@ def replace_relationships(tables: dict[str, DataFrame], producer: str, bundle_id
     if fence["target_generation"] != generation:
         raise InvalidParameter(f"the fence is for generation {fence['target_generation']}, not {generation}")
     valid = validate(rows)
-    digest = set_hash(valid)
+    own_hash = set_hash(valid)
     mine = (F.col("source_bundle_id") == bundle_id) & (F.col("producer") == producer)
     publications = tables["publications"]
     before = publications.where(mine & (F.col("publication_generation") == generation)).limit(1).collect()
     if before:
-        if before[0]["relationship_set_hash"] == digest:
+        if before[0]["relationship_set_hash"] == own_hash:
             return tables, before[0]["publication_id"]
         raise Duplicate(f"generation {generation} was published with other relationships")
     ahead = expected_generation - bundle["catalog_generation"]
@@ -102,7 +108,7 @@ def replace_relationships(tables: dict[str, DataFrame], producer: str, bundle_id
         if not placed.join(with_source(placed, tables["concepts"]), ["row_hash"], "left_anti").limit(1).isEmpty():
             raise InvalidParameter("a source concept isn't in the bundle")
         publications = publications.withColumn("state", F.when(mine & (F.col("state") == "active"), "superseded").otherwise(F.col("state")))
-    row = (number, bundle["tenant_id"], producer, bundle_id, generation, expected_generation, token, digest, placed.count(), "active" if ahead == 0 else "staged", expected_generation if ahead == 0 else None)
+    row = (number, bundle["tenant_id"], producer, bundle_id, generation, expected_generation, token, own_hash, placed.count(), "active" if ahead == 0 else "staged", expected_generation if ahead == 0 else None)
     publications = publications.unionByName(rows.sparkSession.createDataFrame([row], PUBLICATION))
     stored = tables["relationships"]
     return {**tables, "publications": publications, "relationships": stored.unionByName(placed.select(*stored.columns))}, number
@@ -139,5 +145,43 @@ def activate_staged(tables: dict[str, DataFrame], bundle_id: int, generation: in
 
 
 def set_hashes(rows: DataFrame) -> DataFrame:
-    """(publication_id, relationship_set_hash, n) of stored sets."""
-    return rows.groupBy("publication_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("row_hash")), "\n"), 256).alias("relationship_set_hash"), F.count(F.lit(1)).alias("n"))
+    """(publication_id, relationship_set_hash, n) of stored sets, of any size.
+
+    Row hashes are sorted in as many tasks as they have first bytes, which is their order too, and put together in runs of
+    ``RUN``; only these are sorted again, and streamed through a set's hash, by one task for each set.
+    """
+    raw = F.unhex("row_hash")
+    known = F.when(F.col("row_hash").isNull() | ((F.length(raw) == 32) & (F.lower("row_hash") == F.col("row_hash"))), raw).otherwise(F.raise_error(F.lit("row_hash isn't a SHA-256 in lower-case hex")))
+    hashed = rows.select("publication_id", known.alias("h"))
+    dealt = hashed.repartition(F.xxhash64("publication_id", F.substring("h", 1, 1))).sortWithinPartitions("publication_id", "h")
+    kind = to_arrow_type(rows.schema["publication_id"].dataType)
+    schema = T.StructType([rows.schema["publication_id"], *[T.StructField(c, T.BinaryType()) for c in ("first", "last", "run")], T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        now = None
+
+        def closed() -> tuple:
+            return (now, held[0], held[-1], None if held[0] is None else b"".join(held), len(held))
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            kinds = (kind, pa.binary(), pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
+
+        for batch in batches:
+            out = []
+            for g, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # A run stays within a first byte, since those between two that a task has may be another's.
+                if held and (g != now or len(held) == RUN or (h and h[0]) != (held[0] and held[0][0])):
+                    out.append(closed())
+                    held = []
+                now = g
+                held.append(h)
+            if out:
+                yield batch_of(out)
+        if held:
+            yield batch_of([closed()])
+
+    runs = dealt.mapInArrow(run, schema)
+    sets = digest(runs, "publication_id", ["first", "last"], F.col("run"), between="\n", as_bytes=lambda b: b.hex("\n", 32).encode(), count=F.col("n"))
+    return sets.withColumnRenamed("digest", "relationship_set_hash")

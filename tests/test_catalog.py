@@ -368,6 +368,15 @@ def test_publication(spark, homes):
     assert relationships.activate_staged(now, 1, 6)[1] and relationships.activate_staged(staged, 1, 7)[0]["publications"].first()["state"] == "superseded"
 
 
+def test_hashes_of_large_sets(spark, monkeypatch):
+    monkeypatch.setattr(relationships, "RUN", 4)
+    sets = {p: [hashlib.sha256(f"{p} {i % 400}".encode()).hexdigest() for i in range(n)] for p, n in ((1, 390), (2, 1), (3, 700), (None, 9))}
+    rows = spark.createDataFrame([(p, h) for p, hashes in sets.items() for h in [*hashes, None]], "publication_id long, row_hash string").repartition(8)
+    got = relationships.set_hashes(rows)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert {r["publication_id"]: (r["relationship_set_hash"], r["n"]) for r in got.collect()} == {p: (hashlib.sha256("\n".join(sorted(hashes)).encode()).hexdigest(), len(hashes) + 1) for p, hashes in sets.items()}
+
+
 def test_outbox(spark):
     schema = "event_id long, claimed_by string, claimed_until long, attempts int, acked boolean, ack_key string, at_us long"
     t = spark.createDataFrame([(1, None, None, 0, False, None, 1), (2, "x", 50, 1, False, None, 1), (3, None, None, 0, True, "k", 1)], schema)
@@ -425,7 +434,7 @@ def test_packages(spark):
 @pytest.fixture
 def late_broadcasts(spark):
     """Joins are planned by shuffles, and become broadcasts when their sides turn out to be small."""
-    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     was = {k: spark.conf.get(k, None) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
