@@ -10,7 +10,8 @@ sets, which are made again from the texts in question, and only verified links g
    has ``BANDS`` keys of ``ROWS`` min-hashes each. Two sets of similarity j have a given key in common with probability
    j^6, so a pair of similarity 0.8 shares none of 48 keys with (1 - 0.8^6)^48 < 5e-7, and this does not depend on how the
    changes lie in the text. Nodes that share a key meet in its bucket; there, each that isn't connected yet is held against
-   the bucket's least member, then against one chosen by the key's hash, and tested with the one that it meets most often.
+   the bucket's least member, then, in rounds, against one chosen by the key's hash, and tested with the few that it meets
+   most often. A node beside a large component has several chances so, and is held against all of its members only after.
 3. What is left are nodes in buckets that still have members of several components. Among these, all pairs at 0.8 are
    found by their rarest shingles: of two sets in order of frequency, rare ones first, that have four fifths of their union
    in common, one of the first fifth of each is in both, and enough shingles follow it in both. Pairs that meet so are held
@@ -41,6 +42,8 @@ FIFTHS = 4
 _RNG = np.random.default_rng(20)
 FACTORS = _RNG.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BAND = _RNG.integers(0, 1 << 63, BANDS, dtype=np.uint64)
+#: Rounds of buckets whose member is chosen by a hash: how many of those that a node meets it is tested with in each.
+ROUNDS = (1, 3, 3)
 WORDS, FAR = 32, 256
 BIT_FACTORS = _RNG.integers(0, 1 << 63, 64 * WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: A list of documents is broadcast if it is counted to be below this, and joined by a shuffle else.
@@ -160,12 +163,14 @@ class Documents:
             drop(rest)
             return out
 
-        for first in (F.struct("node", "n", "c"), F.struct(F.xxhash64("key", "node").alias("h"), "node", "n", "c")):
+        by_hash = [(F.struct(F.xxhash64("key", "node", F.lit(seed)).alias("h"), "node", "n", "c"), most) for seed, most in enumerate(ROUNDS)]
+        for first, most in [(F.struct("node", "n", "c"), 1), *by_hash]:
             near = rest.withColumn("p", F.min(first).over(bucket)).where("c <> p.c").where(fits(F.col("n"), F.col("p.n")))
-            # Of all that a node is held against, the one with which it shares the most keys.
+            # Of all that a node is held against, those with which it shares the most keys.
             shared = near.groupBy("node", "c", F.col("p.node").alias("to"), F.col("p.c").alias("ct")).agg(F.count(F.lit(1)).alias("keys"))
-            most = shared.groupBy("node", "c").agg(F.max_by(F.struct("to", "ct"), F.struct("keys", "to")).alias("m"))
-            self.test(paired(most.select("node", "c", F.col("m.to").alias("to"), F.col("m.ct").alias("ct"))))
+            best = F.slice(F.sort_array(F.collect_list(F.struct("keys", "to", "ct")), asc=False), 1, most)
+            met = shared.groupBy("node", "c").agg(best.alias("m")).select("node", "c", F.explode("m").alias("m"))
+            self.test(paired(met.select("node", "c", F.col("m.to").alias("to"), F.col("m.ct").alias("ct"))))
             rest = narrowed()
         open_ = cut(rest.select("node", "n", "c").distinct())
         sets = cut(self.sets_of(open_.select("node")))
